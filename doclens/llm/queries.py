@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclens.llm import simhash
+from doclens.llm import quality_rules, simhash, toxicity
 from doclens.llm.common import table
 from doclens.plans.session import ready
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(ready(spark), sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.score(docs, toxicity.fit_chain(docs, labels))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(ready(spark), sf_dir, t) for t in ("documents", "labels"))
+    return quality_rules.apply_rules(docs, quality_rules.fit_model(docs, labels))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(ready(spark), sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op2_toxicity, op4_quality_rules, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
