@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclens.llm import quality_rules, simhash, toxicity
-from doclens.llm.common import table
+from doclens.llm import pii, quality_knn, quality_rules, simhash, token_pack, toxicity
+from doclens.llm.common import new_path, table
 from doclens.plans.session import ready
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizers' files are; their package says so."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(ready(spark), sf_dir, t) for t in ("documents", "labels"))
     return toxicity.score(docs, toxicity.fit_chain(docs, labels))
@@ -21,12 +28,29 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.fit_model(docs, labels))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents")
+    return pii.find(docs, pii.fit_model(docs))
+
+
+def op8_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(ready(spark), "packed")
+    token_pack.write_packed(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), vocab_size=49408)
+    return token_pack.read_packed(spark, path)
+
+
+def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(ready(spark), sf_dir, t) for t in ("documents", "labels"))
+    space = quality_knn.fit_space(docs, labels.where(~quality_knn.held_out()))
+    return quality_knn.score(docs, space).select("doc_id", quality_knn.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(ready(spark), sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op4_quality_rules, op7_pii, op8_token_pack, op9_quality_knn, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
