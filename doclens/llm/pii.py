@@ -130,7 +130,7 @@ def votes(kind: str, value: str, before: str, after: str) -> list[int]:
     share = digits / len(value)
     return [
         {"secret": 1 if _HEX.fullmatch(value) and len(value) in (32, 40, 64) else 0, "number": _number_vote(value, digits), "handle": 1}[kind],
-        {"secret": 1 if 0.15 <= share <= 0.9 and len(set(value)) >= 10 else -1, "number": -1 if len(set(value)) <= 3 else 1 if digits >= 9 else 0, "handle": 0}[kind],
+        {"secret": 1 if 0.15 <= share <= 0.9 and len(set(value)) >= 10 else -1, "number": -1 if len(set(value)) <= 3 else 1 if value[0] == "+" and value[-1].isdigit() else 0, "handle": 0}[kind],
         1 if value.startswith(_ISSUED) else 0,
         -1 if value.lstrip("@").lower() in _GROUPS else 0,
         1 if _KEYWORD.search(before) else 0,
