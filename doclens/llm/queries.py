@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclens.llm import pii, quality_knn, quality_rules, simhash, token_pack, toxicity
+from doclens.llm import decontam, pii, quality_knn, quality_rules, simhash, token_pack, toxicity
 from doclens.llm.common import new_path, table
 from doclens.plans.session import ready
 
@@ -23,6 +23,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit_chain(docs, labels))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(ready(spark), sf_dir, t) for t in ("documents", "labels"))
     return quality_rules.apply_rules(docs, quality_rules.fit_model(docs, labels))
@@ -50,8 +54,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_quality_rules, op7_pii, op8_token_pack, op9_quality_knn, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op3_decontamination, op4_quality_rules, op7_pii, op8_token_pack, op9_quality_knn, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": decontam.ORACLE}
