@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from doclens.llm import decontam, pii, quality_knn, quality_rules, simhash, token_pack, toxicity
+from doclens.llm import decontam, pii, quality_knn, quality_rules, simhash, sp_sampling, token_pack, toxicity
 from doclens.llm.common import new_path, table
 from doclens.plans.session import ready
 
@@ -32,6 +33,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.fit_model(docs, labels))
 
 
+def op5_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    encoded = sp_sampling.encode(table(ready(spark), sf_dir, "documents"), model)
+    encoded = encoded.withColumns({"n_ids": F.size("ids"), "ids_hash": F.xxhash64("ids")})
+    keep = ["doc_id", "sample", "n_ids", "ids_hash", "log_prob", "perturbed", "inclusion", "text_crc32"]
+    decoded = sp_sampling.decode(encoded, model, keep)
+    return decoded.select(*keep[:-1], (F.crc32("text") == F.col("text_crc32")).alias("round_trip"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents")
     return pii.find(docs, pii.fit_model(docs))
@@ -54,7 +64,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_decontamination, op4_quality_rules, op7_pii, op8_token_pack, op9_quality_knn, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op3_decontamination, op4_quality_rules, op5_sentencepiece_sampling, op7_pii, op8_token_pack, op9_quality_knn, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
