@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm import decontam, pii, quality_knn, quality_rules, simhash, sp_sampling, token_pack, toxicity
+from doclens.llm import decontam, licenses, pii, quality_knn, quality_rules, simhash, sp_sampling, token_pack, toxicity, url_filter
 from doclens.llm.common import new_path, table
 from doclens.plans.session import ready
 
@@ -19,6 +19,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.query(spark, table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(ready(spark), sf_dir, t) for t in ("documents", "labels"))
     return toxicity.score(docs, toxicity.fit_chain(docs, labels))
@@ -42,6 +46,10 @@ def op5_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(*keep[:-1], (F.crc32("text") == F.col("text_crc32")).alias("round_trip"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.query(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents")
     return pii.find(docs, pii.fit_model(docs))
@@ -64,8 +72,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_decontamination, op4_quality_rules, op5_sentencepiece_sampling, op7_pii, op8_token_pack, op9_quality_knn, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_decontamination, op4_quality_rules, op5_sentencepiece_sampling, op6_license_scans, op7_pii, op8_token_pack, op9_quality_knn, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.ORACLE}
+    return {"op1_url_filters": url_filter.ORACLE, "op3_decontamination": decontam.ORACLE, "op6_license_scans": licenses.ORACLE}
