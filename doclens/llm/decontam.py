@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclens.llm.common import written
+
 #: Tokens of a template window; an item with fewer is one window.
 WINDOW = 8
 #: An item is found in a document that holds this share of its windows in one alignment.
@@ -100,8 +102,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: flo
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs that hold no item."""
-    found = find(docs, benchmark, **how).select("doc_id").distinct()
+    """The rows of docs, with all columns, that hold no item; rows without a doc_id stay."""
+    found = written(find(docs, benchmark, **how).select("doc_id").distinct(), "found")
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -167,6 +167,18 @@ def score(docs: DataFrame, space: Space | None, threshold: float = THRESHOLD) ->
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, score double, predicted int")
 
 
+def keep(docs: DataFrame, space: Space | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all columns, whose score reaches the threshold; scored as by score()."""
+    held, names = docs.sparkSession.sparkContext.broadcast(space), docs.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = held.value
+        for b in T.slices(batches):
+            yield b.filter(pa.array(votes(s, *T.text_buffers(b.column("text"))) >= threshold)) if s else b
+
+    return docs.select(names).mapInArrow(work, docs.schema)
+
+
 def held_out(col: str = "doc_id"):
     """Rows that no label is learnt from."""
     return F.coalesce(F.crc32(F.col(col).cast("string")) % 5 == 0, F.lit(False))

@@ -16,10 +16,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclens.llm.common import cut
+from doclens.llm.common import cut, written
 from doclens.llm.features import slices
 
 RADIUS = 2
@@ -184,3 +184,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = SHARD_MOS
     roots = components(links(nodes.where("id is not null"), radius, most))
     class_of = nodes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return fps.join(class_of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST) -> DataFrame:
+    """The rows of docs, with all columns, whose doc_id is the smallest of its component.
+
+    Of several rows with one doc_id one stays (the least by its text's hash); they stand or fall together. Rows without a
+    doc_id stay.
+    """
+    found = near_duplicates(docs, radius, most)
+    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    rest = docs.join(gone, "doc_id", "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return rest.withColumn("_nth", nth).where("_nth = 1 or doc_id is null").select(docs.columns)

@@ -411,7 +411,7 @@ def encode(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = A
 
 def decode(encoded: DataFrame, model: str, keep: list[str], alpha: float = ALPHA) -> DataFrame:
     """keep's columns, and `text`: what each row's ids stand for. Ids outside the vocabulary and null ids stand for nothing."""
-    rows = encoded.select(*keep, "ids")
+    rows = encoded.select(*dict.fromkeys([*keep, "ids"]))
     from pyspark.sql.types import StringType, StructField, StructType
 
     schema = StructType([*(encoded.schema[c] for c in keep), StructField("text", StringType())])
