@@ -13,9 +13,11 @@ reading what stands before it.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,9 @@ END_ID = 2
 #: Ids in a block before the next one is begun; a document isn't split.
 BLOCK = 1 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Before punctuation at the end of a word; it never joins with the letter before it (so no apostrophe).
+_TAIL = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?*#$%&|]+(?: |$))")
 BLOCKS = "shard int, block int, shard_start long, n_docs long, n_ids long, payload binary"
 
 
@@ -96,6 +100,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.ends_word = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -103,27 +109,58 @@ class WordEncoder:
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.first = [0, 0]
 
-    def _learn(self, words: list[str]) -> None:
+    def _store(self, word: str, ids: np.ndarray | list[int]) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.number[word] = len(self.number)
+        self.first.append(self.used)
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of letters only are one pre-token each, whose last id is one that ends a word."""
+        for at in range(0, len(words), 8192):
+            part = words[at : at + 8192]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):
+                self._learn_any(part)
+                continue
+            for word, a, b in zip(part, [0, *ends.tolist()], ends.tolist()):
+                self._store(word, ids[a:b])
+
+    def _learn_any(self, words: list[str]) -> None:
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             for word, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                ids = e.ids
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.number[word] = len(self.number)
-                self.first.append(self.used)
+                self._store(word, e.ids)
+
+    def _learn(self, words: set[str]) -> None:
+        letters = {w for w in words if w.isalpha()}
+        self._learn_letters(sorted(letters))
+        self._learn_any(sorted(words - letters))
+
+    @staticmethod
+    def _apart(text: str) -> list[str]:
+        """The text in parts whose ids, one after the other, are the text's: at spaces, line breaks and before a run of
+        punctuation that ends a word. Latin-1 letters lose their case here, as they would in the library."""
+        text = text.replace("\n", " ")
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:  # case there may depend on what stands around a letter
+            pass
+        return _TAIL.sub(" ", text).split(" ")
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with end_id; the first of each text, one more at the end)."""
         if len(self.number) > REMEMBERED:
             self.forget()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if new := {w for s in split for w in s}.difference(self.number):
-            self._learn(sorted(new))
-        number = self.number
-        words = np.array([number[w] for s in split for w in s], np.int64)
+        split = [self._apart(t) for t in texts]
+        every = [*chain.from_iterable(split)]
+        if new := set(every).difference(self.number):
+            self._learn(new)
+        words = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
         first = np.array(self.first, np.int64)
         begin, size = first[words], first[words + 1] - first[words]
         before = np.concatenate([[0], np.cumsum(size)])
