@@ -101,7 +101,7 @@ CTE = {
   FROM orders JOIN (SELECT l_orderkey, string_agg(line, chr(10) ORDER BY {_SQL_ORDER}) AS body FROM items GROUP BY 1) ON o_orderkey = l_orderkey)""",
     "lab_reports": f"""lab_reports AS (SELECT user_id AS doc_id, 'City Laboratory' || chr(10) || 'Patient: U' || {_LETTERS.format('user_id')} || chr(10) || 'Lipid Profile' || chr(10) || 'Test Result Reference Range' || chr(10)
   || string_agg(line, chr(10) ORDER BY event_id) AS raw_text FROM (SELECT *, CASE event_type {_ANALYTE_SQL} END AS line FROM events) WHERE line IS NOT NULL GROUP BY user_id)""",
-    "rare": "rare AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')".replace("\n", "' || chr(10) || '") for i, t in RARE) + ") AS t(doc_id, raw_text))",
+    "rare": "rare AS (SELECT doc_id::bigint AS doc_id, raw_text FROM (VALUES " + ", ".join(f"({i}, '{t}')".replace("\n", "' || chr(10) || '") for i, t in RARE) + ") AS t(doc_id, raw_text))",
 }
 
 
