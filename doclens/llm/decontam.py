@@ -43,7 +43,7 @@ def template(text: Column) -> Column:
 def slots(text: Column, tokens: Column) -> Column:
     """A map from a token's position to the value that its placeholder stands for."""
     plain, numbered, named = _steps(text)
-    found = [F.regexp_extract_all(plain, F.lit(f"({NUMBER})"), F.lit(1)), F.transform(F.regexp_extract_all(numbered, F.lit(NAME), F.lit(2)), F.trim), F.regexp_extract_all(named, F.lit(UNIT), F.lit(2))]
+    found = [F.regexp_extract_all(plain, F.lit(f"({NUMBER})"), F.lit(1)), F.transform(F.regexp_extract_all(numbered, F.lit(NAME), F.lit(2)), lambda x: F.trim(x)), F.regexp_extract_all(named, F.lit(UNIT), F.lit(2))]
     at = [F.filter(F.transform(tokens, lambda x, i: F.when(x == mark, i)), lambda i: i.isNotNull()) for mark in ("\x01", "\x02", "\x03")]
     return F.map_from_entries(F.concat(*(F.arrays_zip(a, v) for a, v in zip(at, found))))
 

@@ -33,8 +33,9 @@ END_ID = 2
 BLOCK = 1 << 20
 #: Words whose ids a worker remembers.
 REMEMBERED = 500_000
-#: Before punctuation at the end of a word; it never joins with the letter before it (so no apostrophe).
-_TAIL = re.compile(r"(?<=[^\W\d_])(?=[.,;:!?*#$%&|]+(?: |$))")
+#: Before punctuation at the end of a word; it never joins with the letter before it (so no apostrophe, and only letters that
+#: stay one letter when composed and in lower case).
+_TAIL = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-įı-ɏ])(?=[.,;:!?*#$%&|]+(?: |$))")
 BLOCKS = "shard int, block int, shard_start long, n_docs long, n_ids long, payload binary"
 
 
