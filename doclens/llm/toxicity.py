@@ -26,7 +26,7 @@ SEEDS = {
     "contempt": r"(?i)\b(trash|scum|pathetic|worthless|disgusting)\b",
 }
 GRAMS = L.Grams(chars=(6,), words=(1,), norm=0.5)
-HOW = {"l1": 0.02, "rate": 1.0, "epochs": 6}
+HOW = {"l1": 0.05, "rate": 2.0, "epochs": 6}
 FOLDS = 4
 #: A document is toxic from this probability on.
 THRESHOLD = 0.3
