@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from doclens.plans.session import ready  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
+
 
 
 @pytest.fixture(scope="session")

@@ -1,6 +1,6 @@
 import pytest
-from conftest import SF
-from oracle import same
+
+from oracle import SF, same
 
 from doclens.plans import registry
 
