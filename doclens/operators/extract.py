@@ -145,6 +145,25 @@ def headers(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.nullif(doctor, F.lit("")).alias("doctor_name"), F.nullif(patient, F.lit("")).alias("patient_name"), date.alias("date"))
 
 
+def patient_names(docs: DataFrame) -> DataFrame:
+    """(doc_id, patient_name, reason) from classified docs(doc_id, raw_text, about_a_patient).
+
+    An explicit label names the patient. Where the document may be about a patient, a bare "Name:" does too if there are
+    demographics and no payee within two lines of it, and so does "Pt" before a capitalised name; both carry a reason.
+    """
+    text, ls = F.col("raw_text"), F.split("raw_text", "\n")
+    trimmed = lambda c: F.nullif(F.regexp_replace(F.regexp_replace(c, P.PATIENT_TAIL, ""), "[.]+$", ""), F.lit(""))
+    block = lambda i: F.array_join(F.slice(ls, F.greatest(i - 1, F.lit(1)), i + 4 - F.greatest(i - 1, F.lit(1))), "\n")
+    bare = F.transform(ls, lambda x, i: F.when(x.rlike(P.BARE_NAME) & block(i).rlike(P.DEMOGRAPHICS) & ~block(i).rlike(P.PAYEE), trimmed(F.regexp_extract(x, P.BARE_NAME, 1))))
+    about = F.col("about_a_patient")
+    found = docs.select(
+        "doc_id", trimmed(F.regexp_extract(text, P.PATIENT, 1)).alias("a"), F.when(about, F.get(F.filter(bare, lambda n: n.isNotNull()), F.lit(0))).alias("b"),
+        F.when(about, F.nullif(F.regexp_extract(text, P.UNSEPARATED_NAME, 1), F.lit(""))).alias("c"),
+    )
+    reason = F.when(F.col("a").isNotNull(), None).when(F.col("b").isNotNull(), "bare label").when(F.col("c").isNotNull(), "label without separator")
+    return found.select("doc_id", F.coalesce("a", "b", "c").alias("patient_name"), reason.alias("reason"))
+
+
 def page_of(values: DataFrame, pages: DataFrame) -> DataFrame:
     """values(doc_id, start, …) with the page of each: the last page that starts at or before it."""
     starts = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "page"))).alias("_pages"))

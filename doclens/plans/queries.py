@@ -231,6 +231,20 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.headers(corpus.prescriptions(spark, sf_dir))
 
 
+_NAMED = "VALUES (1, 'Name: Asha Rao' || chr(10) || 'Age 40 Sex F'), (2, 'Bank details' || chr(10) || 'Name: Kamal' || chr(10) || 'Age 3'), (3, 'Pt Lakshmi Iyer' || chr(10) || 'Rx'), (4, 'Patient Name: R. Das Age' || chr(10) || 'Name: Other' || chr(10) || 'M/30'), (5, 'Tax Invoice No 1' || chr(10) || 'GSTIN 2' || chr(10) || 'Tablets' || chr(10) || 'Name: A B' || chr(10) || 'age 4'), (6, 'x' || chr(10) || 'Name - Zed' || chr(10) || chr(10) || '30 yrs' || chr(10) || 'gst'), (7, 'nothing here')"
+_TRIMMED = lambda c: f"nullif({gone(gone(c, P.PATIENT_TAIL), '[.]+$')}, '')"
+_BLOCK = "array_to_string(ls[greatest(i - 2, 1) : i + 2], chr(10))"
+
+
+@query(f"""WITH docs AS (SELECT doc_id::bigint AS doc_id, raw_text FROM ({_NAMED}) AS t(doc_id, raw_text)), {sql_classified('docs')}, p AS (SELECT *, string_split(raw_text, chr(10)) AS ls FROM classified),
+q AS (SELECT doc_id, {_TRIMMED(f"regexp_extract(raw_text, '{P.PATIENT}', 1)")} AS a, CASE WHEN about_a_patient THEN (list_filter(list_transform(ls, lambda x, i: CASE WHEN {has('x', P.BARE_NAME)} AND {has(_BLOCK, P.DEMOGRAPHICS)} AND NOT {has(_BLOCK, P.PAYEE)}
+  THEN {_TRIMMED(f"regexp_extract(x, '{P.BARE_NAME}', 1)")} END), lambda y: y IS NOT NULL))[1] END AS b, CASE WHEN about_a_patient THEN {group('raw_text', P.UNSEPARATED_NAME, 1)} END AS c FROM p)
+SELECT doc_id, coalesce(a, b, c) AS patient_name, CASE WHEN a IS NOT NULL THEN NULL WHEN b IS NOT NULL THEN 'bare label' WHEN c IS NOT NULL THEN 'label without separator' END AS reason FROM q""")
+def patient_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.sql(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, raw_text FROM ({_NAMED}) AS t(doc_id, raw_text)")
+    return extract.patient_names(classify.classify(docs))
+
+
 @query(ctes("prescriptions") + f""", {sql_lines('prescriptions')}, pages AS (SELECT doc_id, start, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1)::int AS page FROM lines WHERE line_no % 3 = 0)
 SELECT l.doc_id, l.line_no, max(p.page) AS page FROM lines l JOIN pages p ON p.doc_id = l.doc_id AND p.start <= l.start GROUP BY ALL""")
 def page_of_value(spark: SparkSession, sf_dir: str) -> DataFrame:
