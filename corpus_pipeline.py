@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from doclens.llm import decontam, pii, quality_knn, simhash, sp_sampling
 from doclens.llm.common import table, written
@@ -34,10 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece_sampling(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, sample, ids, log_prob, perturbed, inclusion, round_trip): distinct segmentations of each document."""
-    model = tokenizer_path("piece_bpe_32k.model")
-    keep = ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"]
-    decoded = sp_sampling.decode(sp_sampling.encode(docs, model), model, [*keep, "text_crc32"])
-    return decoded.select(*keep, (F.crc32("text") == F.col("text_crc32")).alias("round_trip"))
+    return sp_sampling.encode(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 STAGES = [

@@ -14,7 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Rows worked on at a time.
+ROWS = 4096
 _P = 0x9E3779B97F4A7C15
 _INV = pow(_P, -1, 1 << 64)
 _up = np.ones(1, np.uint64)
@@ -34,8 +36,8 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """Each batch in slices of at most `most` bytes of text, at least one row each."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Each batch in slices of at most `most` bytes of text and `rows` rows, at least one row each."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -43,7 +45,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         begin = 0
         while begin < batch.num_rows:
             before = size[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(size, before + most, "right")))
+            end = min(begin + rows, max(begin + 1, int(np.searchsorted(size, before + most, "right"))))
             yield batch.slice(begin, end - begin)
             begin = end
 

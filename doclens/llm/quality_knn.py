@@ -25,6 +25,8 @@ SAMPLE = 2000
 BITS = 12
 RANK = 64
 NEIGHBOURS = 25
+#: Rows whose term counts stand in memory at a time.
+ROWS = 512
 #: Neighbours weigh by this power of the cosine.
 POWER = 8
 THRESHOLD = 0.3
@@ -80,7 +82,7 @@ def _document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(DIM, np.int64)
-        for b in T.slices(batches):
+        for b in T.slices(batches, rows=ROWS):
             n, df = n + b.num_rows, df + (term_counts(*T.text_buffers(b.column("text"))) > 0).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIM)), pa.array(np.concatenate([[n], df]))], ["term", "df"])
 
@@ -113,7 +115,7 @@ def fit_space(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, seed:
     texts = texts.groupBy("doc_id", "label").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in T.slices(batches):
+        for b in T.slices(batches, rows=ROWS):
             x = term_counts(*T.text_buffers(b.column("text"))).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
@@ -160,7 +162,7 @@ def score(docs: DataFrame, space: Space | None, threshold: float = THRESHOLD) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = held.value
-        for b in T.slices(batches):
+        for b in T.slices(batches, rows=ROWS):
             p = np.clip(votes(s, *T.text_buffers(b.column("text"))), 0, 1) if s else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -173,7 +175,7 @@ def keep(docs: DataFrame, space: Space | None, threshold: float = THRESHOLD) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = held.value
-        for b in T.slices(batches):
+        for b in T.slices(batches, rows=ROWS):
             yield b.filter(pa.array(votes(s, *T.text_buffers(b.column("text"))) >= threshold)) if s else b
 
     return docs.select(names).mapInArrow(work, docs.schema)

@@ -38,12 +38,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = tokenizer_path("piece_bpe_32k.model")
-    encoded = sp_sampling.encode(table(ready(spark), sf_dir, "documents"), model)
-    encoded = encoded.withColumns({"n_ids": F.size("ids"), "ids_hash": F.xxhash64("ids")})
-    keep = ["doc_id", "sample", "n_ids", "ids_hash", "log_prob", "perturbed", "inclusion", "text_crc32"]
-    decoded = sp_sampling.decode(encoded, model, keep)
-    return decoded.select(*keep[:-1], (F.crc32("text") == F.col("text_crc32")).alias("round_trip"))
+    encoded = sp_sampling.encode(table(ready(spark), sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", "sample", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "inclusion", "round_trip")
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,6 @@ characters (a word and a following space or comma), so a text falls into short u
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,7 +33,7 @@ ALPHA = 1.0
 OFFSET = 20.0
 SEED = 2024
 #: Bytes of text in a walk.
-WALK = 1 << 20
+WALK = 1 << 19
 SPACE = "▁"
 #: Edges from a node at most, as a piece has at most 16 characters.
 FAN = 32
@@ -377,7 +376,21 @@ def sampler(path: str, alpha: float) -> Sampler:
     return _samplers[path, alpha]
 
 
-ENCODED = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, text_crc32 long"
+def decoded(p: Pieces, ids: np.ndarray, first: np.ndarray) -> Iterator[str]:
+    """The texts of runs of ids: pieces' characters and bytes, without the space before the text. Ids outside the
+    vocabulary stand for nothing."""
+    for at in range(0, len(first) - 1, 64):
+        part = ids[first[at] : first[min(at + 64, len(first) - 1)]].astype(np.int64)
+        part = np.where((part >= 0) & (part < p.size), part, 0)
+        size = np.diff(p.raw_first)[part]
+        before = np.concatenate([[0], np.cumsum(size)])
+        raw = p.raw[np.repeat(p.raw_first[part] - before[:-1], size) + np.arange(before[-1])].tobytes()
+        cut = before[first[at : at + 65] - first[at]].tolist()
+        for x, y in zip(cut, cut[1:]):
+            yield raw[x:y].decode("utf-8", "replace").removeprefix(" ")
+
+
+ENCODED = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, round_trip boolean"
 
 
 def encode(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
@@ -385,7 +398,7 @@ def encode(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = A
 
     inclusion is 1 - exp(-exp(log_prob - kappa)), kappa being the next perturbed value: a segmentation's chance to be
     among those drawn, given that threshold. A text with fewer segmentations gives them all, with inclusion 1; an empty or
-    null text has one, without ids. text_crc32 is that of the UTF-8 text with any U+2581 as a space. Draws depend on
+    null text has one, without ids. round_trip: the ids decode to the text (with any U+2581 in it as a space). Draws depend on
     doc_id and seed, so rows with one doc_id and text come out alike; null doc_ids draw like 0. Other columns aren't read.
     """
 
@@ -394,16 +407,17 @@ def encode(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = A
         for b in T.slices(batches, most=WALK):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids = np.asarray(b.column("doc_id").fill_null(0)).astype(np.uint64)
-            crc = np.array([zlib.crc32(t.replace(SPACE, " ").encode()) for t in texts], np.int64)
+            want = [t.replace(SPACE, " ") for t in texts]
             for k, r in enumerate(s.sample(texts, T.mix(ids * _C[3] + np.uint64(seed)), samples)):
                 rows, first = r["row"], r["first"]
                 if not len(rows):
                     continue
+                same = [t == want[i] for t, i in zip(decoded(s.pieces, r["ids"], first), rows.tolist())]
                 # rows without a k-th segmentation have no ids, so the lists are one run
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(r["ids"], pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(rows)), pa.array(np.full(len(rows), k, np.int32)), lists, pa.array(r["log_prob"]), pa.array(r["value"]), pa.array(r["inclusion"]), pa.array(crc[rows])],
-                    ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion", "text_crc32"],
+                    [b.column("doc_id").take(pa.array(rows)), pa.array(np.full(len(rows), k, np.int32)), lists, pa.array(r["log_prob"]), pa.array(r["value"]), pa.array(r["inclusion"]), pa.array(same)],
+                    ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, ENCODED)
@@ -419,19 +433,11 @@ def decode(encoded: DataFrame, model: str, keep: list[str], alpha: float = ALPHA
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sampler(model, alpha).pieces
         for b in batches:
-            lists = b.column("ids")
-            ids = np.asarray(lists.flatten().fill_null(0)).astype(np.int64)
-            n_ids = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
-            ids = np.where((ids >= 0) & (ids < p.size), ids, 0)
-            first = np.concatenate([[0], np.cumsum(n_ids)])
             texts: list[str] = []
             for at in range(0, b.num_rows, 64):
-                part = ids[first[at] : first[min(at + 64, b.num_rows)]]
-                size = np.diff(p.raw_first)[part]
-                before = np.concatenate([[0], np.cumsum(size)])
-                raw = p.raw[np.repeat(p.raw_first[part] - before[:-1], size) + np.arange(before[-1])].tobytes()
-                cut = before[first[at : min(at + 64, b.num_rows) + 1] - first[at]].tolist()
-                texts += [raw[x:y].decode("utf-8", "replace").removeprefix(" ") for x, y in zip(cut, cut[1:])]
+                lists = b.column("ids").slice(at, 64)
+                n_ids = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+                texts += decoded(p, np.asarray(lists.flatten().fill_null(0)), np.concatenate([[0], np.cumsum(n_ids)]))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
     return rows.mapInArrow(work, schema)
