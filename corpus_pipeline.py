@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclens.llm import decontam, pii, quality_knn, simhash, sp_sampling
+from doclens.llm import decontam, near_copies, pii, quality_knn, simhash, sp_sampling
 from doclens.llm.common import table, written
 from doclens.llm.queries import tokenizer_path
 from doclens.plans.session import ready
@@ -17,10 +17,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, by the contract of op10."""
     return simhash.one_of_each(docs)
 
 
+def all_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What near_dedup keeps, and of texts with a similarity of 0.8 in five-word shingles, which fingerprints miss, one too."""
+    return near_copies.one_of_each(written(near_dedup(spark, docs, sf_dir), "single"))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -38,7 +43,7 @@ def sentencepiece_sampling(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 STAGES = [
     ("quality classifier", quality_classifier),
-    ("SimHash near-dedup", near_dedup),
+    ("SimHash near-dedup", all_near_dedup),
     ("benchmark decontamination", decontamination),
     ("PII", personal_data),
     ("SentencePiece encoding and decoding", sentencepiece_sampling),

@@ -30,14 +30,21 @@ SEED = 42
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of one text's word shingles, repeats included; 0 without words."""
+def shingles(text: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """A text's words joined by spaces, and where each of its shingles begins (and more words do) and ends."""
     joined = b" ".join(text.translate(_LOWER).split())
     if not joined:
-        return 0
+        return joined, [], []
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(joined)]
-    ends = ends[min(shingle, len(ends)) - 1 :]
+    return joined, starts, ends[min(shingle, len(ends)) - 1 :]
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of one text's word shingles, repeats included; 0 without words."""
+    joined, starts, ends = shingles(text, shingle)
+    if not joined:
+        return 0
     digest = xxhash.xxh64_intdigest
     ones, n = np.zeros(64, np.int64), len(ends)
     for at in range(0, n, 1 << 16):
