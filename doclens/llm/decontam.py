@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.common import written
+from doclens.llm.common import cut, written
 
 #: Tokens of a template window; an item with fewer is one window.
 WINDOW = 8
@@ -56,8 +56,8 @@ def _windows(hashes: Column, width: int) -> Column:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, broadcast_most: int = BROADCAST_MOST) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, n_slots, exact) for every item found in a document, consistently filled.
 
-    The whole text of each row of docs(doc_id, text) is read. n_windows counts the item's windows in the best alignment
-    (the one with most, then the earliest). exact: every placeholder has the item's own value. Null ids are not reported,
+    The whole text of each row of docs(doc_id, text) is read. n_windows counts the item's windows in the best of the
+    consistently filled alignments (the one with most, then the earliest). exact: every placeholder has the item's own value. Null ids are not reported,
     null and empty texts have no windows, items without a token are not looked for; rows with one doc_id count as one
     document, and equal rows of the benchmark as one item. Other columns are not read.
     """
@@ -82,23 +82,25 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: flo
         seen = seen.unionByName(p)
     hits = seen.join(F.broadcast(keys) if n_keys <= broadcast_most else keys, "window")
     aligned = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.size(F.collect_set("item_at")).cast("long").alias("n_windows"))
-    best = aligned.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", -F.col("shift"))).alias("b")).select("doc_id", "item_id", "b.n_windows", (-F.col("b.col2")).alias("shift"))
     sized = items.select("item_id", "item_text", "item_tokens", (F.size("item_tokens") - F.col("width") + 1).cast("long").alias("item_windows"))
     sized = sized.withColumn("item_slots", slots(F.col("item_text"), F.col("item_tokens"))).drop("item_text", "item_tokens")
-    found = best.join(F.broadcast(sized) if n_keys <= broadcast_most else sized, "item_id").where(F.col("n_windows") >= share * F.col("item_windows"))
-    plain = found.where(F.size("item_slots") == 0).select("doc_id", "item_id", "n_windows", "item_windows", F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("exact"))
+    found = aligned.join(F.broadcast(sized) if n_keys <= broadcast_most else sized, "item_id").where(F.col("n_windows") >= share * F.col("item_windows"))
+    found = cut(found)
+    alignment = ["doc_id", "item_id", "shift", "n_windows", "item_windows"]
+    plain = found.where(F.size("item_slots") == 0).select(*alignment, F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("exact"))
     filled = found.where(F.size("item_slots") > 0)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # slots are read once a document, however many alignments it has
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(filled.select("doc_id").distinct(), "doc_id", "left_semi")
+    got = texts.select("doc_id", F.explode(slots(F.col("text"), template(F.col("text")))).alias("pos", "got")).distinct()
     # a shifted alignment may leave out the ends: only placeholders that have a counterpart are compared
-    pairs = filled.join(texts, "doc_id").withColumn("doc_slots", slots(F.col("text"), template(F.col("text")))).select(
-        "doc_id", "item_id", "n_windows", "item_windows", "doc_slots", "shift", F.explode("item_slots").alias("item_at", "value")
-    )
-    pairs = pairs.select("doc_id", "item_id", "n_windows", "item_windows", "value", F.try_element_at("doc_slots", F.col("item_at") + F.col("shift")).alias("got"))
-    judged = pairs.groupBy("doc_id", "item_id", "n_windows", "item_windows").agg(
+    pairs = filled.select(*alignment, F.explode("item_slots").alias("item_at", "value")).withColumn("pos", F.col("item_at") + F.col("shift")).join(got, ["doc_id", "pos"], "left")
+    judged = pairs.groupBy(*alignment).agg(
         F.count_distinct(F.when(F.col("got").isNotNull(), F.col("value"))).alias("values"), F.count_distinct(F.when(F.col("got").isNotNull(), F.struct("value", "got"))).alias("pairs"),
         F.count("got").alias("n_slots"), F.coalesce(F.bool_and(F.col("got") == F.col("value")), F.lit(True)).alias("exact"),
     )
-    return plain.unionByName(judged.where("values = pairs").select(plain.columns))
+    every = plain.unionByName(judged.where("values = pairs").select(plain.columns))
+    best = F.max_by(F.struct("n_windows", "item_windows", "n_slots", "exact"), F.struct("n_windows", -F.col("shift"))).alias("b")
+    return every.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

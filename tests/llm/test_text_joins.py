@@ -56,6 +56,15 @@ def test_templates(spark, docs_of):
     assert decontam.find(docs, items.limit(0)).count() == 0 and decontam.find(docs.limit(0), items).count() == 0
 
 
+def test_a_consistent_alignment_counts_beside_an_inconsistent_one(spark, docs_of):
+    """A document with a template twice: first filled inconsistently, then as the item or with other parameters."""
+    bad, other = ITEM.replace("12", "40", 1), ITEM.replace("12", "40").replace("Tom", "Ann")
+    docs = docs_of((1, f"so. {bad}. {ITEM}."), (2, f"so. {bad}. {other}."), (3, f"so. {bad}. {bad}."))
+    items = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): (r.n_windows == r.item_windows, r.exact) for r in decontam.find(docs, items).collect()} == {(1, 10): (True, True), (2, 10): (True, False)}
+    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [3]
+
+
 def test_slots(spark):
     df = spark.createDataFrame([(ITEM,)], "t string").select(decontam.template(F.col("t")).alias("k"), decontam.slots(F.col("t"), decontam.template(F.col("t"))).alias("s"))
     k, s = df.first()
