@@ -1,14 +1,19 @@
 """All pairs of texts whose sets of word shingles have a Jaccard similarity of at least 0.8, without a false or lost one.
 
 Sets that similar share an element among their first n - ceil(0.8 n) + 1 in any common order, so a hash join of these
-prefixes finds every pair; lengths, places in the order and the number of shared prefix elements drop most others, and the rest are compared whole. The order
-puts shingles that are frequent in a sample last. Which shingles the sample names changes the work, never the result.
-Texts with equal sets are one node before the join, so exact copies cost nothing.
+prefixes finds every pair; lengths, places in the order and the number of shared prefix elements drop most others, and the
+rest are compared whole. The order puts shingles that are frequent in a sample last. Which shingles the sample names
+changes the work, never the result. Texts with equal sets are one node before the join, so exact copies cost nothing.
+
+Only prefix elements that several sets hold go on. A large group of near copies must not become all its pairs: first every
+set is compared with one pivot (the least set) of each of its prefix elements, which joins most of such a group; then only
+pairs from different groups meet, at elements that sets of several groups hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +23,7 @@ from pyspark.sql import functions as F
 
 from doclens.llm.common import hash_order, written
 from doclens.llm.features import slices
-from doclens.llm.simhash import SEED, components, shingles
+from doclens.llm.simhash import SEED, components, row_key, shingles, without
 
 SHINGLE = 5
 #: Similarity in tenths, so that bounds are whole numbers.
@@ -39,12 +44,13 @@ def prefix_length(n: int, tenths: int = TENTHS) -> int:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", row_key())
+    return rows.where("doc_id is not null and text is not null")
 
 
-def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for b in slices(batches):
-        yield b.column("doc_id"), [shingle_set(t or b"", shingle) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        yield b, [shingle_set(t, shingle) for t in b.column("text").cast(pa.binary()).to_pylist()]
 
 
 def _key(found: np.ndarray) -> int:
@@ -69,12 +75,42 @@ def frequent(docs: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE) -> n
     return top.column("h").to_numpy().view(np.uint64)[::-1].copy()
 
 
-def similar_pairs(docs: DataFrame, shingle: int = SHINGLE, tenths: int = TENTHS, sample: int = SAMPLE) -> DataFrame:
-    """(a, b) with a > b: links between doc_ids of docs(doc_id, text) whose components are those of all similar pairs.
+class Similar(NamedTuple):
+    #: (s, doc_id, row, n): each row with words, by the hash of its set.
+    rows: DataFrame
+    #: (s, doc_id, row): the least row of each set.
+    least: DataFrame
+    #: (a, b): links between sets whose components are those of all pairs of similar sets.
+    links: DataFrame
 
-    Each doc_id of an equal set is linked to the least, and the least ones of two similar sets to each other. Wordless texts
-    have no shingle and no link. Rows without doc_id are left out.
-    """
+
+def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, shingle: int, tenths: int) -> DataFrame:
+    """(a, b) of those pairs(s, t) of sets that are similar, from their whole texts."""
+    pairs = written(pairs, "pairs")
+    needed = pairs.select("s").union(pairs.select("t")).distinct().join(least, "s").select("doc_id", "row")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(batches, shingle):
+            yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in sets], pa.int64()), _longs(sets)], ["s", "held"])
+
+    texts = _texts(docs).join(needed, ["doc_id", "row"], "left_semi").select("text")
+    sets = written(texts.mapInArrow(whole, "s long, held array<long>").dropDuplicates(["s"]), "held")
+    sides = pairs.join(sets, "s").select("s", "t", F.col("held").alias("x")).join(sets.withColumnRenamed("s", "t"), "t")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for i in range(b.num_rows):
+                x, y = (b.column(c)[i].values.to_numpy() for c in ("x", "held"))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(10 * both >= tenths * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column("s"), b.column("t")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return written(sides.select("s", "t", "x", "held").mapInArrow(compared, "a long, b long"), "links")
+
+
+def similar_sets(docs: DataFrame, shingle: int = SHINGLE, tenths: int = TENTHS, sample: int = SAMPLE) -> Similar:
+    """The sets of docs(doc_id, text) and links between them. Wordless texts have no set; rows without doc_id are left out."""
     common = frequent(docs, shingle, sample)
     by_hash = np.argsort(common)
     common = common[by_hash]
@@ -86,46 +122,46 @@ def similar_pairs(docs: DataFrame, shingle: int = SHINGLE, tenths: int = TENTHS,
         return found[np.lexsort((found, rank))][: prefix_length(len(found), tenths)]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, shingle):
-            columns = [ids, pa.array([_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), _longs([first(x) for x in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "s", "n", "prefix"])
-
-    rows = written(_texts(docs).mapInArrow(prefixes, "doc_id long, s long, n int, prefix array<long>").where("n > 0"), "prefixes")
-    least = written(rows.groupBy("s").agg(F.min("doc_id").alias("id"), F.count("*").alias("m")), "sets")
-    twins = rows.select("doc_id", "s").join(least.where("m > 1"), "s").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    one = rows.join(least.select("s", F.col("id").alias("doc_id")), ["s", "doc_id"]).dropDuplicates(["s"])
-    places = one.select("s", "n", F.posexplode("prefix").alias("at", "h"))
-    l, r = places.alias("l"), places.alias("r")
+        for b, sets in _sets(batches, shingle):
+            columns = [b.column("doc_id"), b.column("row"), pa.array([_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), _longs([first(x) for x in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "s", "n", "prefix"])
+
+    rows = written(_texts(docs).mapInArrow(prefixes, "doc_id long, row long, s long, n int, prefix array<long>").where("n > 0"), "prefixes")
+    least = written(rows.groupBy("s").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.count("*").alias("m")).select("s", "r.doc_id", "r.row", "m"), "sets")
+    # rows that aren't their set's least are left out where any are; a repeated row stands twice and does no harm
+    twins = least.where("m > 1")
+    one = rows.join(twins, "s", "left_anti").unionByName(rows.join(twins.select("s", "doc_id", "row"), ["s", "doc_id", "row"], "left_semi"))
+    shared = written(one.select("s", F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
+    places = written(one.select("s", "n", F.posexplode("prefix").alias("at", "h")).join(shared, "h").distinct(), "places")
+
+    pivots = places.groupBy("h").agg(F.min(F.struct("s", "n")).alias("p")).select("h", F.col("p.s").alias("t"), F.col("p.n").alias("m"))
+    sized = 10 * F.least("n", "m") >= tenths * F.greatest("n", "m")
+    stars = _verified(places.join(pivots, "h").where(sized & (F.col("s") != F.col("t"))).select("s", "t").distinct(), docs, least, shingle, tenths)
+
+    groups = components(stars).withColumnsRenamed({"id": "s", "root": "g"})
+    grouped = places.join(groups, "s", "left").withColumn("g", F.coalesce("g", "s"))
+    mixed = grouped.groupBy("h").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("h")
+    grouped = written(grouped.join(mixed, "h", "left_semi"), "mixed")
+    l, r = grouped.alias("l"), grouped.alias("r")
     most = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) + F.least("l.at", "r.at")
-    may = (F.col("l.s") < F.col("r.s")) & (10 * F.least("l.n", "r.n") >= tenths * F.greatest("l.n", "r.n")) & ((10 + tenths) * most >= tenths * (F.col("l.n") + F.col("r.n")))
+    may = (F.col("l.g") != F.col("r.g")) & (F.col("l.s") < F.col("r.s")) & (10 * F.least("l.n", "r.n") >= tenths * F.greatest("l.n", "r.n")) & ((10 + tenths) * most >= tenths * (F.col("l.n") + F.col("r.n")))
     hits = l.join(r, (F.col("l.h") == F.col("r.h")) & may).groupBy(F.col("l.s").alias("s"), F.col("r.s").alias("t"), F.col("l.n").alias("n"), F.col("r.n").alias("m")).agg(F.count("*").alias("hits"))
     # what two sets share is in both prefixes or among what the prefix of one of them leaves
     rest = F.ceil(F.greatest("n", "m") * tenths / F.lit(10)) - 1
-    pairs = written(hits.where((10 + tenths) * (F.col("hits") + rest) >= tenths * (F.col("n") + F.col("m"))).select("s", "t"), "pairs")
-    needed = pairs.select("s").union(pairs.select("t")).distinct().join(least, "s").select("id").distinct()
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, shingle):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([_key(x) for x in sets], pa.int64()), _longs(sets)], ["id", "s", "held"])
-
-    sets = _texts(docs).join(needed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(whole, "id long, s long, held array<long>")
-    sets = written(sets.dropDuplicates(["s"]), "held")
-    sides = pairs.join(sets, "s").select("t", F.col("id").alias("a"), F.col("held").alias("x")).join(sets.withColumnRenamed("s", "t"), "t")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for i in range(b.num_rows):
-                x, y = (b.column(c)[i].values.to_numpy() for c in ("x", "held"))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(10 * both >= tenths * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("id")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    near = sides.select("a", "id", "x", "held").mapInArrow(compared, "a long, b long")
-    return twins.unionByName(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).where("a > b").distinct()
+    pairs = hits.where((10 + tenths) * (F.col("hits") + rest) >= tenths * (F.col("n") + F.col("m"))).select("s", "t")
+    return Similar(rows.drop("prefix"), least, stars.unionByName(_verified(pairs, docs, least, shingle, tenths)))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, with all columns, whose doc_id is the least of its group of similar texts; rows without a doc_id stay."""
-    gone = components(similar_pairs(docs, **how)).where("id <> root").select(F.col("id").alias("doc_id"))
-    return docs.join(written(gone.distinct(), "copies"), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs, with all columns, but those whose set is linked with that of a smaller doc_id, or equal to it.
+
+    Of each group of linked sets the row with the least (doc_id, hash of the text) stays, and rows equal to it in both. Wordless
+    texts and rows without a doc_id stay.
+    """
+    found = similar_sets(docs, **how)
+    group = found.least.join(components(found.links).withColumnsRenamed({"id": "s", "root": "g"}), "s", "left").withColumn("g", F.coalesce("g", "s"))
+    kept = group.groupBy("g").agg(F.min(F.struct("doc_id", "row")).alias("k"))
+    joined = group.select("s", "g", "m").join(kept, "g").select("s", "k", "m")
+    # a set alone with one row has nothing to lose
+    rows = found.rows.join(joined, "s").where(~F.struct("doc_id", "row").eqNullSafe(F.col("k")))
+    return without(docs, written(rows.select("doc_id", "row").distinct(), "copies"))

@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclens.llm.common import cut, written
@@ -53,16 +53,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: bool = False) -> DataFrame:
+    """(doc_id, fp long) of every row, with `row`, a hash of its text, if asked for; a null text counts as empty."""
+    keys = ["doc_id", "row"] if row else ["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = b.column("text").cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, keys), pa.array(fps)], [*keys, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row", row_key())
+    return rows.select(*keys, "text").mapInArrow(work, ", ".join(f"{k} long" for k in (*keys, "fp")))
 
 
 class BKTree:
@@ -193,14 +195,40 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = SHARD_MOS
     return fps.join(class_of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def row_key() -> Column:
+    """A hash of a row's text, null for a null."""
+    return F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, that aren't among gone(doc_id, row); rows without a doc_id stay. Spark broadcasts
+    `gone`, as it was written, where its size allows; else both sides are dealt by doc_id."""
+    d, g = docs.alias("d"), gone.alias("g")
+    same = (F.col("d.doc_id").cast("long") == F.col("g.doc_id")) & row_key().eqNullSafe(F.col("g.row"))
+    return d.join(g, same, "left_anti").select("d.*")
+
+
 def one_of_each(docs: DataFrame, radius: int = RADIUS, most: int = SHARD_MOST) -> DataFrame:
-    """The rows of docs, with all columns, whose doc_id is the smallest of its component.
+    """One row of each component of linked fingerprints in docs, with all columns: the one with the least doc_id.
 
-    Of several rows with one doc_id one stays (the least by its text's hash); they stand or fall together. Rows without a
-    doc_id stay.
+    Of several such rows (one doc_id with texts that link) the one with the least fingerprint and hash of the text stays; of
+    rows equal in doc_id and text the least by a hash of all columns. Rows of one doc_id whose texts don't link are of
+    different components and stand for themselves. Rows without a doc_id stay.
     """
-    found = near_duplicates(docs, radius, most)
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    rest = docs.join(gone, "doc_id", "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rest.withColumn("_nth", nth).where("_nth = 1 or doc_id is null").select(docs.columns)
+    found = fingerprints(docs, row=True).where("doc_id is not null").groupBy("doc_id", "row", "fp").agg(F.count("*").alias("n"))
+    found = cut(found)
+    roots = components(links(found.select(F.col("fp").alias("id"), "fp").distinct(), radius, most)).withColumnsRenamed({"id": "fp", "root": "g"})
+    found = found.join(roots, "fp", "left").withColumn("g", F.coalesce("g", "fp"))
+    me = F.struct("doc_id", "fp", "row")
+    marked = cut(found.join(found.groupBy("g").agg(F.min(me).alias("kept")), "g").select("doc_id", "row", "n", me.eqNullSafe(F.col("kept")).alias("kept")))
+    gone = written(marked.where("not kept").select("doc_id", "row"), "copies")
+    twice = written(marked.where("kept and n > 1").select("doc_id", "row"), "repeated")
+    rest = without(docs, gone)
+    if twice.isEmpty():
+        return rest
+    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    d, t = rest.alias("d"), twice.alias("t")
+    same = (F.col("d.doc_id").cast("long") == F.col("t.doc_id")) & row_key().eqNullSafe(F.col("t.row"))
+    again = d.join(t, same, "left_semi").select("d.*").withColumn("_row", row_key())
+    least = again.groupBy("doc_id", "_row").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in hashed))).alias("_kept"))
+    return without(rest, twice).unionByName(least.select("_kept.*"))

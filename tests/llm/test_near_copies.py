@@ -44,11 +44,40 @@ def edited(seed=5):
 def test_pairs_are_those_of_brute_force(spark, docs_of):
     rows = edited()
     want = brute_roots(rows)
-    got = {r.id: r.root for r in S.components(N.similar_pairs(docs_of(*rows))).collect()}
-    assert {i: got.get(i, i) for i, _ in rows} == want
+    assert groups(docs_of(*rows)) == want
     assert 30 < len(set(want.values())) < 120
-    few = {r.id: r.root for r in S.components(N.similar_pairs(docs_of(*rows), sample=1)).collect()}
-    assert few == got
+    assert groups(docs_of(*rows), sample=1) == want  # other frequent shingles, same groups
+    left = {r.doc_id for r in N.one_of_each(docs_of(*rows)).collect()}
+    assert left == set(want.values())
+
+
+def groups(docs, **how):
+    """The least doc_id of each document's group."""
+    found = N.similar_sets(docs, **how)
+    root = {r.id: r.root for r in S.components(found.links).collect()}
+    of = {r.doc_id: root.get(r.s, r.s) for r in found.rows.collect()}
+    least = {}
+    for i, g in of.items():
+        least[g] = min(i, least.get(g, i))
+    return {r.doc_id: least[of[r.doc_id]] if r.doc_id in of else r.doc_id for r in docs.collect()}
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, docs_of, monkeypatch):
+    """300 texts, each with another word changed: all link by way of pivots, and no pair is left for the second step."""
+    words = [f"w{i}" for i in range(120)]
+    rows = [(k, " ".join([*words[: k % 110], f"x{k}", *words[k % 110 + 1 :]])) for k in range(300)]
+    sizes, verified = [], N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, *rest: sizes.append(pairs.count()) or verified(pairs, *rest))
+    assert [r.doc_id for r in N.one_of_each(docs_of(*rows)).collect()] == [0]
+    assert sum(sizes) < 30 * len(rows)
+
+
+def test_rows_of_one_doc_id_stand_for_themselves(spark, docs_of):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = docs_of((1, a), (1, b), (2, b), (3, c), (3, c), (None, c), (4, None), (4, ""))
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    got = sorted(((r.doc_id or 0), (r.text or "")[:1]) for r in stage(spark, docs, "").collect())
+    assert got == [(0, "c"), (1, "a"), (1, "b"), (3, "c"), (4, "")]
 
 
 def test_stage_drops_edited_copies_that_fingerprints_miss(spark, docs_of):
