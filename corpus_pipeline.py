@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def all_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What near_dedup keeps, and of texts with a similarity of 0.8 in five-word shingles, which fingerprints miss, one too."""
-    return near_copies.one_of_each(written(near_dedup(spark, docs, sf_dir), "single"))
+    return near_copies.one_of_each(near_dedup(spark, docs, sf_dir))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
