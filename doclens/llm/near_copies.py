@@ -8,6 +8,11 @@ changes the work, never the result. Texts with equal sets are one node before th
 Only prefix elements that several sets hold go on. A large group of near copies must not become all its pairs: first every
 set is compared with one pivot (the least set) of each of its prefix elements, which joins most of such a group; then only
 pairs from different groups meet, at elements that sets of several groups hold.
+
+Each set has a parity map: a bit for each bucket of hashes that holds an odd number of its elements. Two maps differ in at
+most as many bits as the sets have elements that aren't shared, so pairs whose maps differ in more go without a look at the
+sets. A map of 64 * WORDS bits stands in the join; one that grows with the set (folded to the smaller, by exclusive or)
+goes over what the join lets through, and few pairs that aren't similar have their texts read again.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ SHINGLE = 5
 TENTHS = 8
 #: Documents sampled for the order, times that a shingle is seen in them before it counts as frequent, and most such shingles.
 SAMPLE, FREQUENT, FREQUENT_MOST = 10_000, 3, 200_000
+#: Longs of the parity map that stands in the join.
+WORDS = 4
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -75,6 +82,24 @@ def frequent(docs: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE) -> n
     return top.column("h").to_numpy().view(np.uint64)[::-1].copy()
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """The parity map of a set, in longs: a power of two of them, at least WORDS, with 2 to 4 bits an element."""
+    bits = max(64 * WORDS, 1 << int(2 * len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
+def may_be_similar(n: int, m: int, x: np.ndarray, y: np.ndarray, tenths: int = TENTHS) -> bool:
+    """False only if sets of n and m elements with these parity maps have a similarity below tenths / 10."""
+    words = min(len(x), len(y))
+    differ = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+    return (10 + tenths) * differ <= (10 - tenths) * (n + m)
+
+
 class Similar(NamedTuple):
     #: (s, doc_id, row, n): each row with words, by the hash of its set.
     rows: DataFrame
@@ -84,6 +109,20 @@ class Similar(NamedTuple):
     links: DataFrame
 
 
+def _likely(pairs: DataFrame, maps: DataFrame, tenths: int) -> DataFrame:
+    """Those pairs(s, t) whose parity maps(s, n, bits) allow that they are similar."""
+    sides = pairs.join(maps, "s").join(maps.select(F.col("s").alias("t"), F.col("n").alias("m"), F.col("bits").alias("other")), "t")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column("n").to_pylist(), b.column("m").to_pylist()
+            maps = ((b.column("bits")[k].values.to_numpy().view(np.uint64), b.column("other")[k].values.to_numpy().view(np.uint64)) for k in range(b.num_rows))
+            keep = [may_be_similar(n[k], m[k], x, y, tenths) for k, (x, y) in enumerate(maps)]
+            yield b.select(["s", "t"]).filter(pa.array(keep, pa.bool_()))
+
+    return sides.mapInArrow(work, "s long, t long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, shingle: int, tenths: int) -> DataFrame:
     """(a, b) of those pairs(s, t) of sets that are similar, from their whole texts."""
     pairs = written(pairs, "pairs")
@@ -123,33 +162,39 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, tenths: int = TENTHS,
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _sets(batches, shingle):
-            columns = [b.column("doc_id"), b.column("row"), pa.array([_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), _longs([first(x) for x in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "s", "n", "prefix"])
+            columns = [b.column("doc_id"), b.column("row"), pa.array([_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), _longs([first(x) for x in sets]), _longs([parity(x) for x in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "s", "n", "prefix", "bits"])
 
-    rows = written(_texts(docs).mapInArrow(prefixes, "doc_id long, row long, s long, n int, prefix array<long>").where("n > 0"), "prefixes")
+    rows = written(_texts(docs).mapInArrow(prefixes, "doc_id long, row long, s long, n int, prefix array<long>, bits array<long>").where("n > 0"), "prefixes")
     least = written(rows.groupBy("s").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.count("*").alias("m")).select("s", "r.doc_id", "r.row", "m"), "sets")
     # rows that aren't their set's least are left out where any are; a repeated row stands twice and does no harm
     twins = least.where("m > 1")
     one = rows.join(twins, "s", "left_anti").unionByName(rows.join(twins.select("s", "doc_id", "row"), ["s", "doc_id", "row"], "left_semi"))
     shared = written(one.select("s", F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     places = written(one.select("s", "n", F.posexplode("prefix").alias("at", "h")).join(shared, "h").distinct(), "places")
+    maps = written(one.select("s", "n", "bits").join(places.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"]), "maps")
 
     pivots = places.groupBy("h").agg(F.min(F.struct("s", "n")).alias("p")).select("h", F.col("p.s").alias("t"), F.col("p.n").alias("m"))
     sized = 10 * F.least("n", "m") >= tenths * F.greatest("n", "m")
-    stars = _verified(places.join(pivots, "h").where(sized & (F.col("s") != F.col("t"))).select("s", "t").distinct(), docs, least, shingle, tenths)
+    starred = places.join(pivots, "h").where(sized & (F.col("s") != F.col("t"))).select("s", "t").distinct()
+    stars = _verified(_likely(starred, maps, tenths), docs, least, shingle, tenths)
 
     groups = components(stars).withColumnsRenamed({"id": "s", "root": "g"})
     grouped = places.join(groups, "s", "left").withColumn("g", F.coalesce("g", "s"))
     mixed = grouped.groupBy("h").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("h")
-    grouped = written(grouped.join(mixed, "h", "left_semi"), "mixed")
+    word = lambda k: F.aggregate(F.sequence(F.lit(k), F.size("bits") - 1, F.lit(WORDS)), F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(F.get("bits", i)))
+    small = maps.select("s", *(word(k).alias(f"b{k}") for k in range(WORDS)))
+    grouped = written(grouped.join(mixed, "h", "left_semi").join(small, "s"), "mixed")
     l, r = grouped.alias("l"), grouped.alias("r")
+    differ = sum((F.bit_count(F.col(f"l.b{k}").bitwiseXOR(F.col(f"r.b{k}"))) for k in range(WORDS)), F.lit(0))
     most = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) + F.least("l.at", "r.at")
     may = (F.col("l.g") != F.col("r.g")) & (F.col("l.s") < F.col("r.s")) & (10 * F.least("l.n", "r.n") >= tenths * F.greatest("l.n", "r.n")) & ((10 + tenths) * most >= tenths * (F.col("l.n") + F.col("r.n")))
+    may = may & ((10 + tenths) * differ <= (10 - tenths) * (F.col("l.n") + F.col("r.n")))
     hits = l.join(r, (F.col("l.h") == F.col("r.h")) & may).groupBy(F.col("l.s").alias("s"), F.col("r.s").alias("t"), F.col("l.n").alias("n"), F.col("r.n").alias("m")).agg(F.count("*").alias("hits"))
     # what two sets share is in both prefixes or among what the prefix of one of them leaves
     rest = F.ceil(F.greatest("n", "m") * tenths / F.lit(10)) - 1
     pairs = hits.where((10 + tenths) * (F.col("hits") + rest) >= tenths * (F.col("n") + F.col("m"))).select("s", "t")
-    return Similar(rows.drop("prefix"), least, stars.unionByName(_verified(pairs, docs, least, shingle, tenths)))
+    return Similar(rows.drop("prefix", "bits"), least, stars.unionByName(_verified(_likely(pairs, maps, tenths), docs, least, shingle, tenths)))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

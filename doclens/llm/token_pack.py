@@ -144,8 +144,11 @@ class WordEncoder:
     @staticmethod
     def _apart(text: str) -> list[str]:
         """The text in parts whose ids, one after the other, are the text's: at spaces, line breaks and before a run of
-        punctuation that ends a word. Latin-1 letters lose their case here, as they would in the library."""
+        punctuation that ends a word. Latin-1 letters lose their case here, as they would in the library, but not where a
+        special token may stand: the library looks for those before it takes the case away."""
         text = text.replace("\n", " ")
+        if "<|" in text:
+            return text.split(" ")
         try:
             text.encode("latin-1")
             text = text.lower()

@@ -72,6 +72,19 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark, docs_of, monkeypatc
     assert sum(sizes) < 30 * len(rows)
 
 
+def test_parity_maps_never_hide_a_similar_pair():
+    r = np.random.default_rng(8)
+    for _ in range(400):
+        n, apart = int(r.integers(1, 900)), int(r.integers(0, 120))
+        shared, x, y = (np.unique(r.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, apart // 2, apart - apart // 2))
+        a, b = np.union1d(shared, x), np.union1d(shared, y)
+        both = len(np.intersect1d(a, b))
+        if 10 * both >= 8 * (len(a) + len(b) - both):
+            assert N.may_be_similar(len(a), len(b), N.parity(a), N.parity(b))
+    far = [np.unique(r.integers(0, 1 << 63, 300).astype(np.uint64)) for _ in range(2)]
+    assert not N.may_be_similar(300, 300, *map(N.parity, far))
+
+
 def test_rows_of_one_doc_id_stand_for_themselves(spark, docs_of):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     docs = docs_of((1, a), (1, b), (2, b), (3, c), (3, c), (None, c), (4, None), (4, ""))
