@@ -28,9 +28,24 @@ def test_width(size, bits):
     assert K.width(size) == bits
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="abCÉſΣİ'.,!-#1 \n\t́漢", max_size=30), min_size=1, max_size=5))
+#: Letters, and special tokens in every case and in parts.
+PIECES = st.one_of(
+    st.text(alphabet="abCÉſΣİ'.,!-#1 \n\t\u0301漢<|>", max_size=12),
+    st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>", "<|endoftext", "endoftext|>", " <|endoftext|> ", "<|\nendoftext|>", "x<|endoftext|>.", "É<|endoftext|>É"]),
+)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=5).map("".join), min_size=1, max_size=5))
 def test_words_encode_as_whole_texts(path_texts):
+    same_as_library(path_texts)
+
+
+def test_special_tokens_count_in_their_own_case_only():
+    same_as_library(["<|ENDOFTEXT|>", "<|EndOfText|> a", "<|endoftext|>", "A <|endoftext|>B", "Plain Words, here."])
+
+
+def same_as_library(path_texts):
     from doclens.llm.queries import tokenizer_path
 
     ids, first = K.encoder(tokenizer_path(WORDS)).encode(path_texts, 2)
@@ -55,11 +70,28 @@ def test_files(spark, sf, path, block):
 
 
 def test_edges(spark, edges, none, path):
-    for docs, n in ((edges, 9), (none, 0)):
-        out = new_path(spark, "t")
-        K.write_packed(docs, out, path(WORDS), 49408)
-        rows = K.read_packed(spark, out).orderBy("start").collect()
-        assert len(rows) == n
-        assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
-    ids = [r.doc_id for r in sorted(K.read_packed(spark, out).collect(), key=lambda r: r.start)]
-    assert ids == []
+    """Null ids first, equal ids in the order of their texts' hashes, null and empty texts as the end id alone."""
+    library = Tokenizer.from_file(path(WORDS))
+    out = new_path(spark, "t")
+    K.write_packed(edges, out, path(WORDS), 49408)
+    rows = sorted(K.read_packed(spark, out).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, 1, 2, 3, 4, 5, 5, 6, 7]
+    texts = {r.doc_id: r.text or "" for r in edges.collect()}
+    at = 0
+    for r in rows:
+        ids = [*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert [r.n_tokens for r in rows[1:4]] == [1, 1, 1]
+    out = new_path(spark, "t")
+    K.write_packed(none, out, path(WORDS), 49408)
+    assert K.read_packed(spark, out).collect() == []
+
+
+def test_different_texts_of_one_id_are_in_the_order_of_their_hashes(spark, docs_of, path):
+    texts = ["one", "two two", "three three three"]
+    out = new_path(spark, "t")
+    K.write_packed(docs_of(*((5, t) for t in texts)), out, path(WORDS), 49408)
+    order = [r.text for r in docs_of(*((5, t) for t in texts)).selectExpr("text", "xxhash64(text) AS h").orderBy("h").collect()]
+    got = sorted(K.read_packed(spark, out).collect(), key=lambda r: r.start)
+    assert [r.n_tokens - 1 for r in got] == [len(t.split()) for t in order]
