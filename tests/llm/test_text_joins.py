@@ -38,6 +38,25 @@ def test_captures_are_judged_at_their_fetch_time(spark):
     assert not url_filter.judge(spark.createDataFrame(caps, "page_id long, url string, fetched date"), entries.limit(0)).where("blocked").count()
 
 
+def test_spellings_of_an_entry_share_a_history(spark):
+    entries = spark.createDataFrame([
+        ("Bad.com/", "spam", False, day(1), True), ("bad.com", "spam", False, day(5), False), ("www.evil.com", "spam", False, day(1), True), ("EVIL.com.//Deep//", "worse", False, day(2), True),
+        ("", "x", False, day(1), True), ("www.", "x", False, day(1), True), ("/", "x", False, day(1), True),
+    ], "entry string, category string, allow boolean, day date, listed boolean")
+    assert {r.entry for r in url_filter.intervals(entries).collect()} == {"bad.com", "evil.com", "evil.com/deep"}
+    caps = [(1, "http://bad.com/", day(3)), (2, "http://BAD.com/", day(6)), (3, "http://www.evil.com/", day(3)), (4, "http://evil.com./deep/x", day(3)), (5, "http://evil.com/", dt.date(9999, 1, 1))]
+    got = {r.page_id: (r.blocked, r.category) for r in url_filter.judge(spark.createDataFrame(caps, "page_id long, url string, fetched date"), entries).collect()}
+    assert got == {1: (True, "spam"), 2: (False, None), 3: (True, "spam"), 4: (True, "worse"), 5: (True, "spam")}
+
+
+def test_long_urls_and_clashing_columns(spark):
+    entries = spark.createDataFrame([("bad.com", "spam", False, day(1), True)], "entry string, category string, allow boolean, day date, listed boolean")
+    long = "http://bad.com/" + "step/" * 300 + "?" + "q" * 100_000
+    caps = spark.createDataFrame([(1, long, day(3), "x", "y", "z", "w"), (2, "http://" + "a." * 100 + "bad.com/", day(3), "x", "y", "z", "w")], "page_id long, url string, fetched date, entry string, part string, host string, category string")
+    got = url_filter.judge(caps, entries).collect()
+    assert sorted((r.page_id, r.blocked) for r in got) == [(1, True), (2, True)]
+
+
 ITEM = "If Tom has 12 apples and Bob Smith eats 3 kg of them how many of the 12 does Tom keep today"
 
 
