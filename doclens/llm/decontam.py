@@ -1,9 +1,10 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
-Numbers, runs of capitalised words within a sentence, and units after a number become typed placeholders, so that a
-question asked again with other parameters has the same template. Windows of template tokens are hash-joined to those of
-the benchmark; where the item has placeholders, the values that fill them in the document must be consistent with the
-item's: one value for each value of the item.
+Numbers, runs of capitalised words, and units after a number become typed placeholders, so that a question asked again with
+other parameters has the same template. At the head of a text or sentence, and after a number or quote, a capitalised word
+counts as a name too, unless it is one of the words that sentences begin with (STARTERS). Windows of template tokens are
+hash-joined to those of the benchmark; where the item has placeholders, the values that fill them in the document must be
+consistent with the item's: one value for each value of the item.
 """
 
 from __future__ import annotations
@@ -17,20 +18,30 @@ from doclens.llm.common import cut, written
 WINDOW = 8
 #: An item is found in a document that holds this share of its windows in one alignment.
 SHARE = 0.3
-#: Benchmark windows that are broadcast; more are joined by a shuffle.
-BROADCAST_MOST = 500_000
+#: Benchmark windows, and bytes of its texts, that are broadcast; more are joined by a shuffle.
+BROADCAST_MOST, BROADCAST_BYTES = 500_000, 64 << 20
+#: Rows with an alignment whose keys are broadcast to fetch their texts.
+FOUND_MOST = 1_000_000
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
-NAME = r"([\p{Ll},;])((?: \p{Lu}\p{Ll}+)+)"
+#: Words that begin sentences and are no names, in four languages.
+STARTERS = (
+    "The|This|That|These|Those|There|They|Their|What|Which|Who|Whose|When|Where|Why|How|If|In|On|At|By|For|From|To|Of|With|And|But|Or|So|As|An|It|Its|He|She|We|You|His|Her|Our|Your|My|Is|Are|Was|Were|Do|Does|Did|"
+    "Can|Could|Will|Would|Should|Has|Have|Had|Each|Every|Some|Many|Most|All|Both|One|Two|After|Before|During|Then|Now|Find|Given|Let|Suppose|Since|While|Because|Not|No|Yes|"
+    "Le|La|Les|Un|Une|Des|Du|De|Ce|Cette|Ces|Il|Elle|Ils|Elles|On|Nous|Vous|Et|Ou|Mais|Dans|Sur|Pour|Par|Avec|Si|Quand|Que|Qui|Quel|Quelle|Combien|"
+    "Der|Die|Das|Ein|Eine|Den|Dem|Es|Er|Sie|Wir|Ihr|Und|Oder|Aber|Im|Am|Auf|Mit|Von|Zu|Wenn|Wie|Was|Wer|Wo|Wann|Warum|Welche|"
+    "El|Los|Las|Una|Unos|Unas|Del|Al|En|Con|Por|Para|Y|O|Pero|Ella|Ellos|Cuando|Como|Quien|Cual|Cuanto"
+)
+STARTER = rf"(^|[.!?:\x22\x01]\s*)((?:{STARTERS})[^\p{{L}}])"
+NAME = r"(^\s*|[.!?:;,\x22\x01]\s*|\p{Ll} )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
 UNITS = "%|percent|kg|km|cm|mm|ml|mg|lbs|lb|oz|miles|mile|meters|meter|metres|metre|feet|foot|inches|inch|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|dollars|dollar|cents|cent|euros|euro|pounds|pound|liters|liter|litres|litre|gallons|gallon|degrees|degree"
 UNIT = rf"(\x01 *)({UNITS})([^\p{{L}}\p{{N}}]|$)"
 BREAK = r"[^\p{L}\p{N}\x01-\x03]+"
-KINDS = ("number", "name", "unit")
 
 
 def _steps(text: Column) -> tuple[Column, Column, Column]:
-    """The text as each of the three patterns meets it."""
-    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), "\x01\x02\x03", "   ")
-    numbered = F.regexp_replace(plain, NUMBER, " \x01 ")
+    """The text as each of the three patterns meets it; \\x04 keeps a starter from being a name."""
+    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), "\x01\x02\x03\x04", "    ")
+    numbered = F.regexp_replace(F.regexp_replace(plain, NUMBER, " \x01 "), STARTER, "$1\x04$2")
     return plain, numbered, F.regexp_replace(numbered, NAME, "$1 \x02 ")
 
 
@@ -43,7 +54,7 @@ def template(text: Column) -> Column:
 def slots(text: Column, tokens: Column) -> Column:
     """A map from a token's position to the value that its placeholder stands for."""
     plain, numbered, named = _steps(text)
-    found = [F.regexp_extract_all(plain, F.lit(f"({NUMBER})"), F.lit(1)), F.transform(F.regexp_extract_all(numbered, F.lit(NAME), F.lit(2)), lambda x: F.trim(x)), F.regexp_extract_all(named, F.lit(UNIT), F.lit(2))]
+    found = [F.regexp_extract_all(plain, F.lit(f"({NUMBER})"), F.lit(1)), F.regexp_extract_all(numbered, F.lit(NAME), F.lit(2)), F.regexp_extract_all(named, F.lit(UNIT), F.lit(2))]
     at = [F.filter(F.transform(tokens, lambda x, i: F.when(x == mark, i)), lambda i: i.isNotNull()) for mark in ("\x01", "\x02", "\x03")]
     return F.map_from_entries(F.concat(*(F.arrays_zip(a, v) for a, v in zip(at, found))))
 
@@ -53,53 +64,72 @@ def _windows(hashes: Column, width: int) -> Column:
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.slice(hashes, i + 1, width)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, broadcast_most: int = BROADCAST_MOST) -> DataFrame:
+def _row() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _texts_of(docs: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """(doc_id, row, text) of the rows in found(doc_id, row): their keys are broadcast if they are few, counted first."""
+    keys = written(found.select("doc_id", "row").distinct(), "hits")
+    keys = F.broadcast(keys) if keys.count() <= most else keys
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _row().alias("row"))
+    return rows.join(keys, ["doc_id", "row"], "left_semi")
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, broadcast_most: int = BROADCAST_MOST, found_most: int = FOUND_MOST) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, n_slots, exact) for every item found in a document, consistently filled.
 
-    The whole text of each row of docs(doc_id, text) is read. n_windows counts the item's windows in the best of the
-    consistently filled alignments (the one with most, then the earliest). exact: every placeholder has the item's own value. Null ids are not reported,
-    null and empty texts have no windows, items without a token are not looked for; rows with one doc_id count as one
-    document, and equal rows of the benchmark as one item. Other columns are not read.
+    The whole text of each row of docs(doc_id, text) is read, and every alignment that holds the share of an item's windows
+    is judged by itself. n_windows counts the item's windows in the best of the consistently filled alignments (the one with
+    most, then the earliest). exact: every placeholder has the item's own value (an item without placeholders has; one with
+    placeholders, none of which the alignment covers, has not). Null ids are not reported, null and empty texts have no
+    windows, items without a token are not looked for. Rows with one doc_id are judged each by its own text and reported
+    together; equal rows count once, as do equal rows of the benchmark. Other columns are not read. A window that very many
+    texts hold makes a large key only in the join by shuffle, which Spark splits.
     """
     items = benchmark.select("item_id", F.col("text").cast("string").alias("item_text")).where("item_id is not null").distinct()
     items = items.withColumn("item_tokens", template(F.col("item_text"))).where(F.size("item_tokens") > 0)
     items = items.withColumn("width", F.least(F.size("item_tokens"), F.lit(window)))
     wide = items.withColumn("h", F.transform("item_tokens", lambda x: F.xxhash64(x)))
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most `window` values
+    size = items.groupBy("width").agg(F.sum(F.size("item_tokens") - F.col("width") + 1).alias("n"), F.sum(F.octet_length("item_text")).alias("b")).collect()  # at most `window` rows
+    widths = sorted(r["width"] for r in size)
     spark = docs.sparkSession
     if not widths:
         return spark.createDataFrame([], "doc_id long, item_id long, n_windows long, item_windows long, n_slots long, exact boolean")
+    small = sum(r["n"] for r in size) <= broadcast_most and sum(r["b"] for r in size) <= BROADCAST_BYTES
+    either = lambda df: F.broadcast(df) if small else df
     parts = [wide.where(F.col("width") == w).select("item_id", F.posexplode(_windows(F.col("h"), w)).alias("item_at", "window")) for w in widths]
     keys = parts[0]
     for p in parts[1:]:
         keys = keys.unionByName(p)
-    n_keys = keys.count()
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    rows = rows.select("doc_id", F.transform(template(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    places = [rows.select("doc_id", F.posexplode(_windows(F.col("h"), w)).alias("at", "window")) for w in widths]
+    rows = rows.select("doc_id", _row().alias("row"), F.transform(template(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    places = [rows.select("doc_id", "row", F.posexplode(_windows(F.col("h"), w)).alias("at", "window")) for w in widths]
     seen = places[0]
     for p in places[1:]:
         seen = seen.unionByName(p)
-    hits = seen.join(F.broadcast(keys) if n_keys <= broadcast_most else keys, "window")
-    aligned = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.size(F.collect_set("item_at")).cast("long").alias("n_windows"))
+    hits = seen.join(either(keys), "window")
+    aligned = hits.groupBy("doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+        F.count_distinct("item_at").alias("n_windows"), F.min("item_at").alias("low"), F.max("item_at").alias("high"))
     sized = items.select("item_id", "item_text", "item_tokens", (F.size("item_tokens") - F.col("width") + 1).cast("long").alias("item_windows"))
-    sized = sized.withColumn("item_slots", slots(F.col("item_text"), F.col("item_tokens"))).drop("item_text", "item_tokens")
-    found = aligned.join(F.broadcast(sized) if n_keys <= broadcast_most else sized, "item_id").where(F.col("n_windows") >= share * F.col("item_windows"))
-    found = cut(found)
-    alignment = ["doc_id", "item_id", "shift", "n_windows", "item_windows"]
+    sized = sized.withColumn("item_slots", slots(F.col("item_text"), F.col("item_tokens"))).withColumn("width", F.least(F.size("item_tokens"), F.lit(window))).drop("item_text", "item_tokens")
+    found = cut(aligned.join(either(sized), "item_id").where(F.col("n_windows") >= share * F.col("item_windows")))
+    alignment = ["doc_id", "row", "item_id", "shift", "n_windows", "item_windows"]
     plain = found.where(F.size("item_slots") == 0).select(*alignment, F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("exact"))
     filled = found.where(F.size("item_slots") > 0)
-    # slots are read once a document, however many alignments it has
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(filled.select("doc_id").distinct(), "doc_id", "left_semi")
-    got = texts.select("doc_id", F.explode(slots(F.col("text"), template(F.col("text")))).alias("pos", "got")).distinct()
-    # a shifted alignment may leave out the ends: only placeholders that have a counterpart are compared
-    pairs = filled.select(*alignment, F.explode("item_slots").alias("item_at", "value")).withColumn("pos", F.col("item_at") + F.col("shift")).join(got, ["doc_id", "pos"], "left")
+    # slots are read once a text, however many alignments it has
+    texts = _texts_of(docs, filled, found_most)
+    got = texts.select("doc_id", "row", F.explode(slots(F.col("text"), template(F.col("text")))).alias("pos", "got")).distinct()
+    # an alignment may leave out the ends: only placeholders from its first window to its last, with a counterpart, are compared
+    covered = filled.select(*alignment, "low", (F.col("high") + F.col("width")).alias("end"), F.explode("item_slots").alias("item_at", "value")).where("low <= item_at and item_at < end")
+    pairs = covered.withColumn("pos", F.col("item_at") + F.col("shift")).join(got, ["doc_id", "row", "pos"], "left")
     judged = pairs.groupBy(*alignment).agg(
         F.count_distinct(F.when(F.col("got").isNotNull(), F.col("value"))).alias("values"), F.count_distinct(F.when(F.col("got").isNotNull(), F.struct("value", "got"))).alias("pairs"),
-        F.count("got").alias("n_slots"), F.coalesce(F.bool_and(F.col("got") == F.col("value")), F.lit(True)).alias("exact"),
+        F.count("got").alias("n_slots"), F.coalesce(F.bool_and(F.col("got") == F.col("value")), F.lit(False)).alias("exact"),
     )
-    every = plain.unionByName(judged.where("values = pairs").select(plain.columns))
-    best = F.max_by(F.struct("n_windows", "item_windows", "n_slots", "exact"), F.struct("n_windows", -F.col("shift"))).alias("b")
+    bare = filled.where(~F.exists(F.map_keys("item_slots"), lambda i: (F.col("low") <= i) & (i < F.col("high") + F.col("width"))))
+    every = plain.unionByName(bare.select(*alignment, F.lit(0).cast("long").alias("n_slots"), F.lit(False).alias("exact"))).unionByName(judged.where("values = pairs").select(plain.columns))
+    best = F.max_by(F.struct("n_windows", "item_windows", "n_slots", "exact"), F.struct("n_windows", -F.col("shift"), "n_slots", "exact")).alias("b")
     return every.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
@@ -111,31 +141,32 @@ def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 ORACLE = rf"""
 WITH steps AS (
-  SELECT doc_id AS id, 'd' AS side, coalesce(text, '') AS plain FROM documents WHERE doc_id IS NOT NULL
-  UNION ALL SELECT item_id, 'b', coalesce(text, '') FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
-s1 AS (SELECT *, regexp_replace(plain, '{NUMBER}', ' ' || chr(1) || ' ', 'g') AS numbered FROM steps),
+  SELECT row_number() OVER () AS row, id, side, plain FROM (SELECT DISTINCT doc_id AS id, 'd' AS side, coalesce(text, '') AS plain FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT item_id, 'b', coalesce(text, '') FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL))),
+s1 AS (SELECT *, regexp_replace(regexp_replace(plain, '{NUMBER}', ' ' || chr(1) || ' ', 'g'), '{STARTER}', '\1' || chr(4) || '\2', 'g') AS numbered FROM steps),
 s2 AS (SELECT *, regexp_replace(numbered, '{NAME}', '\1 ' || chr(2) || ' ', 'g') AS named FROM s1),
 s3 AS (SELECT *, list_filter(regexp_split_to_array(lower(regexp_replace(named, '{UNIT}', '\1 ' || chr(3) || ' \3', 'g')), '{BREAK}'), lambda x: x <> '') AS tokens FROM s2),
-items AS (SELECT id AS item_id, tokens, least(len(tokens), {WINDOW}) AS width, len(tokens) - least(len(tokens), {WINDOW}) + 1 AS item_windows,
+items AS (SELECT row AS item_row, id AS item_id, tokens, least(len(tokens), {WINDOW}) AS width, len(tokens) - least(len(tokens), {WINDOW}) + 1 AS item_windows,
    list_sum(list_transform(tokens, lambda x: (x IN (chr(1), chr(2), chr(3)))::int))::bigint AS slots, plain, numbered, named FROM s3 WHERE side = 'b' AND len(tokens) > 0),
-keys AS (SELECT item_id, p AS item_at, array_to_string(tokens[p + 1 : p + width], ' ') AS w FROM items, unnest(range(0, item_windows)) AS r(p)),
-places AS (SELECT s.id AS doc_id, p AS pos, array_to_string(tokens[p + 1 : p + k.width], ' ') AS w
+keys AS (SELECT item_row, p AS item_at, array_to_string(tokens[p + 1 : p + width], ' ') AS w FROM items, unnest(range(0, item_windows)) AS r(p)),
+places AS (SELECT s.row, p AS pos, array_to_string(tokens[p + 1 : p + k.width], ' ') AS w
    FROM s3 s, (SELECT DISTINCT width FROM items) k, unnest(range(0, greatest(len(tokens) - k.width + 1, 0))) AS r(p) WHERE side = 'd'),
-aligned AS (SELECT doc_id, item_id, pos - item_at AS shift, count(DISTINCT item_at) AS n_windows FROM places JOIN keys USING (w) GROUP BY ALL),
-best AS (SELECT doc_id, item_id, n_windows, shift FROM aligned QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, shift) = 1),
-found AS (SELECT b.*, i.item_windows, i.slots FROM best b JOIN items i USING (item_id) WHERE n_windows >= {SHARE} * item_windows),
+aligned AS (SELECT row, item_row, pos - item_at AS shift, count(DISTINCT item_at) AS n_windows, min(item_at) AS low, max(item_at) AS high FROM places JOIN keys USING (w) GROUP BY ALL),
+found AS (SELECT a.*, i.item_windows, i.slots, i.width FROM aligned a JOIN items i USING (item_row) WHERE n_windows >= {SHARE} * item_windows),
 filled AS (
-  SELECT id, side, p AS at, CASE tokens[p + 1]
+  SELECT row, side, p AS at, CASE tokens[p + 1]
     WHEN chr(1) THEN regexp_extract_all(plain, '{NUMBER}')[len(list_filter(tokens[1 : p + 1], lambda x: x = chr(1)))]
-    WHEN chr(2) THEN trim(regexp_extract_all(numbered, '{NAME}', 2)[len(list_filter(tokens[1 : p + 1], lambda x: x = chr(2)))])
+    WHEN chr(2) THEN regexp_extract_all(numbered, '{NAME}', 2)[len(list_filter(tokens[1 : p + 1], lambda x: x = chr(2)))]
     ELSE regexp_extract_all(named, '{UNIT}', 2)[len(list_filter(tokens[1 : p + 1], lambda x: x = chr(3)))] END AS value
   FROM s3, unnest(range(0, len(tokens))) AS r(p)
-  WHERE tokens[p + 1] IN (chr(1), chr(2), chr(3)) AND ((side = 'b') OR id IN (SELECT doc_id FROM found WHERE slots > 0))),
+  WHERE tokens[p + 1] IN (chr(1), chr(2), chr(3)) AND ((side = 'b') OR row IN (SELECT row FROM found WHERE slots > 0))),
 judged AS (
-  SELECT f.doc_id, f.item_id, f.n_windows, f.item_windows, count(d.value) AS n_slots, coalesce(bool_and(d.value = i.value), true) AS exact,
+  SELECT f.row, f.item_row, f.shift, f.n_windows, f.item_windows, count(d.value) AS n_slots, coalesce(bool_and(d.value = i.value), false) AS exact,
     count(DISTINCT CASE WHEN d.value IS NOT NULL THEN i.value END) AS vals, count(DISTINCT CASE WHEN d.value IS NOT NULL THEN i.value || chr(1) || d.value END) AS pairs
-  FROM found f JOIN filled i ON i.side = 'b' AND i.id = f.item_id LEFT JOIN filled d ON d.side = 'd' AND d.id = f.doc_id AND d.at = i.at + f.shift
-  WHERE f.slots > 0 GROUP BY ALL)
-SELECT doc_id, item_id, n_windows, item_windows, 0::bigint AS n_slots, true AS exact FROM found WHERE slots = 0
-UNION ALL SELECT doc_id, item_id, n_windows, item_windows, n_slots, exact FROM judged WHERE vals = pairs
+  FROM found f LEFT JOIN filled i ON i.side = 'b' AND i.row = f.item_row AND i.at BETWEEN f.low AND f.high + f.width - 1 LEFT JOIN filled d ON d.side = 'd' AND d.row = f.row AND d.at = i.at + f.shift
+  WHERE f.slots > 0 GROUP BY ALL),
+every AS (SELECT row, item_row, shift, n_windows, item_windows, 0::bigint AS n_slots, true AS exact FROM found WHERE slots = 0
+  UNION ALL SELECT row, item_row, shift, n_windows, item_windows, n_slots, exact FROM judged WHERE vals = pairs)
+SELECT d.id AS doc_id, i.item_id, n_windows, e.item_windows, n_slots, exact FROM every e JOIN s3 d USING (row) JOIN items i USING (item_row)
+QUALIFY row_number() OVER (PARTITION BY d.id, i.item_id ORDER BY n_windows DESC, shift, n_slots DESC, exact DESC) = 1
 """

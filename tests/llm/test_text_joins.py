@@ -84,6 +84,26 @@ def test_a_consistent_alignment_counts_beside_an_inconsistent_one(spark, docs_of
     assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [3]
 
 
+def test_rows_of_one_doc_id_are_judged_each_by_its_own_text(spark, docs_of):
+    bad = ITEM.replace("12", "40", 1)
+    items = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    docs = docs_of((1, "so. " + ITEM), (1, "so. " + bad), (2, bad), (2, "so. " + bad), (3, ITEM), (3, ITEM), (4, "pad " * 300_000 + ". " + ITEM))
+    assert {(r.doc_id, r.exact) for r in decontam.find(docs, items).collect()} == {(1, True), (3, True), (4, True)}
+    assert {(r.doc_id, r.exact) for r in decontam.find(docs, items, found_most=0).collect()} == {(1, True), (3, True), (4, True)}
+
+
+def test_names_at_the_head_of_sentences(spark, docs_of):
+    items = spark.createDataFrame([(1, "Alice bought 3 apples for 2 dollars"), (2, "Every day Tom runs. Alice walks 5 miles. The dog sleeps for 9 hours"), (3, "x")], "item_id long, text string")
+    docs = docs_of((1, "Maria bought 7 apples for 9 dollars"), (2, "so he said: \"Zoe bought 4 apples for 8 dollars\""), (3, "Every day Ben runs. Maria walks 8 miles. The dog sleeps for 2 hours"), (4, "These bought 7 apples for 9 dollars"))
+    assert {(r.doc_id, r.item_id, r.exact) for r in decontam.find(docs, items).collect()} == {(1, 1, False), (2, 1, False), (3, 2, False)}
+
+
+def test_no_slot_compared_is_not_exact(spark, docs_of):
+    tail = " and then we walk home along the old river road in the evening light with our dogs"
+    items = spark.createDataFrame([(1, "we have 3 of them here" + tail)], "item_id long, text string")
+    assert [(r.n_slots, r.exact) for r in decontam.find(docs_of((1, "so it was" + tail)), items).collect()] == [(0, False)]
+
+
 def test_slots(spark):
     df = spark.createDataFrame([(ITEM,)], "t string").select(decontam.template(F.col("t")).alias("k"), decontam.slots(F.col("t"), decontam.template(F.col("t"))).alias("s"))
     k, s = df.first()
