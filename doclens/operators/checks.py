@@ -2,52 +2,63 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclens.functions import patterns as P
 
 
-def lexicon_swaps() -> list[tuple[str, str]]:
-    """(misread, meant) for every lexicon word with one character taken for another, in the cases a word is printed in."""
-    out = set()
+def misreadings() -> list[tuple[str, str]]:
+    """(seen, meant character) for every lexicon word with one character taken for another: lower case but for that one."""
+    out = {}
     for word in P.LAB_LEXICON:
-        for form in (word, word.upper(), word.capitalize(), word.replace("hba1c", "HbA1c")):
-            for i, meant in enumerate(form):
-                out |= {(form[:i] + seen + form[i + 1 :], form) for seen, may in P.CONFUSABLE.items() if meant in may}
-    return sorted((bad, good) for bad, good in out if bad.lower() not in P.LAB_LEXICON)
+        for i, right in enumerate(word):
+            for seen, may in P.CONFUSABLE.items():
+                for meant in may:
+                    if meant.lower() == right:
+                        out.setdefault(word[:i] + seen + word[i + 1 :], meant)
+    return sorted(out.items())
+
+
+def meant_name(name: Column) -> Column:
+    """What the name's first misread word may stand for, or null. A word is misread if it isn't in the lexicon, and is with
+    one character swapped for one that it is confused with. The swaps are a literal map: they don't grow with the data."""
+    seen, meant_chars = (F.split(F.lit(",".join(x)), ",") for x in zip(*misreadings()))
+    swaps = F.map_from_arrays(seen, meant_chars)  # folded to one literal
+    words = F.regexp_extract_all(name, F.lit(r"([A-Za-z0-9|]+(?:-[A-Za-z0-9]+)?)"), F.lit(1))
+    char = lambda w, i: F.substring(w, i, 1)
+    left, right = lambda w, i: F.substring(w, F.lit(1), i - 1), lambda w, i: F.substring(w, i + 1, F.length(w))
+
+    def tried(w: Column) -> Column:
+        meant = lambda i: F.try_element_at(swaps, F.concat(F.lower(left(w, i)), char(w, i), F.lower(right(w, i))))
+        found = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(left(w, i), meant(i), right(w, i)))
+        return F.when(~F.lower(w).isin(P.LAB_LEXICON) & w.rlike("[A-Za-z]"), F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)))
+
+    return F.get(F.filter(F.transform(words, tried), lambda m: m.isNotNull()), F.lit(0))
 
 
 def confusable_names(names: DataFrame) -> DataFrame:
-    """names(…, name) with `meant`: the lexicon word that the name's first misread word may stand for, or null.
+    """names(…, name) with `meant`, by meant_name."""
+    return names.withColumn("meant", meant_name(F.col("name")))
+
 
-    A word is misread if it isn't in the lexicon, and is with one character swapped for one it is confused with. The swaps of
-    the lexicon are a literal map: they don't grow with the data.
-    """
-    best: dict[str, str] = {}
-    for bad, good in lexicon_swaps():
-        best.setdefault(bad, good)
-    swaps = F.create_map(*map(F.lit, chain.from_iterable(sorted(best.items()))))
-    words = F.regexp_extract_all("name", F.lit(r"([A-Za-z0-9|]+(?:-[A-Za-z0-9]+)?)"), F.lit(1))
-    found = F.filter(F.transform(words, lambda w: F.when(~F.lower(w).isin(P.LAB_LEXICON) & w.rlike("[A-Za-z]"), F.try_element_at(swaps, w))), lambda m: m.isNotNull())
-    return names.withColumn("meant", F.get(found, F.lit(0)))
+def misread(segment: Column, dosage: Column, after: Column) -> dict[str, Column]:
+    """What looks misread in a segment (a line from a medicine's name on) and in the three characters after its dosage:
+    dose_letters, code_letters and stray_capital, each null if there is none."""
+    group = lambda m: F.nullif(F.regexp_extract(segment, m.parts, 2), F.lit(""))
+    stray = F.when(dosage.isNotNull() & after.rlike(P.STRAY_CAPITAL), F.trim(F.substring(after, 1, 2)))
+    return {"dose_letters": group(P.DOSE_WITH_LETTERS), "code_letters": group(P.CODE_WITH_LETTERS), "stray_capital": stray}
 
 
 def misread_doses(rows: DataFrame) -> DataFrame:
-    """rows(…, line, dosage) with what looks misread from the name to the line's end: `dose_letters`, `code_letters` and
-    `stray_capital`, each null if there is none."""
-    after = F.expr("substring(line, locate(dosage, line) + length(dosage), 3)")
-    return rows.withColumns({
-        "dose_letters": F.nullif(F.regexp_extract("line", P.DOSE_WITH_LETTERS, 2), F.lit("")), "code_letters": F.nullif(F.regexp_extract("line", P.CODE_WITH_LETTERS, 2), F.lit("")),
-        "stray_capital": F.when(F.col("dosage").isNotNull() & (F.expr("locate(dosage, line)") > 0) & after.rlike(P.STRAY_CAPITAL), F.trim(F.substring(after, 1, 2))),
-    })
+    """rows(…, line, dosage) with dose_letters, code_letters and stray_capital of the line (see misread)."""
+    there = F.when(F.expr("locate(dosage, line)") > 0, F.col("dosage"))
+    return rows.withColumns(misread(F.col("line"), there, F.expr("substring(line, locate(dosage, line) + length(dosage), 3)")))
 
 
 def decimal_slip(value: Column, reference: Column) -> Column:
     """Is a value more than ten times outside its range? A limit (< n or > n) counts as the range from 0 to n."""
-    number = F.expr("try_cast(value AS DOUBLE)") if value is None else value.try_cast("double")
+    number = value.try_cast("double")
     part = lambda p, i: F.regexp_extract(reference, p, i).try_cast("double")
     ranged = reference.rlike(P.RANGE)
     low, high = F.when(ranged, part(P.RANGE, 1)).otherwise(0.0), F.when(ranged, part(P.RANGE, 2)).otherwise(part(P.LIMIT, 1))
@@ -76,21 +87,51 @@ def overlay(values: DataFrame, doubts: DataFrame) -> DataFrame:
     return values.join(of_line, ["doc_id", "line_no"], "left").withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))
 
 
+#: Probabilities of characters below which a value, a line and a document are doubtful.
+SURE_VALUE, SURE_LINE, SURE_DOCUMENT = 0.80, 0.60, 0.80
+
+
 def span_confidence(values: DataFrame, confidence: str = "confidence") -> DataFrame:
     """values(…, start, end, confidence array) with the least known probability of the span's characters, rounded to 3."""
     known = F.filter(F.slice(confidence, F.col("start") + 1, F.col("end") - F.col("start")), lambda p: p.isNotNull())
     return values.withColumn("ocr_confidence", F.round(F.array_min(known), 3))
 
 
-def ungrounded(values: DataFrame, docs: DataFrame) -> DataFrame:
-    """values(doc_id, start, end, text) that aren't literally in their document at their place."""
-    joined = values.join(docs.select("doc_id", "raw_text"), "doc_id")
+def unsure(ocr_confidence: Column) -> Column:
+    """The reason to review a value whose characters were read with a low probability, or null."""
+    return F.when(ocr_confidence < SURE_VALUE, "characters read with low probability")
+
+
+def mean_confidence(text: Column, confidence: Column, pattern: str = r"[\p{L}\p{N}]") -> Column:
+    """The mean of the known probabilities of a text's characters of a pattern, rounded to 3: letters and digits for a document,
+    [^\\s] for a line. Null if none is known. Probabilities are added as millionths, so that the order doesn't matter."""
+    chars = F.split(text, "")
+    known = F.filter(F.zip_with(chars, confidence, lambda c, p: F.when(c.rlike(f"^{pattern}$"), p)), lambda p: p.isNotNull())
+    total = F.aggregate(known, F.lit(0).cast("long"), lambda a, p: a + F.round(p * 1_000_000).cast("long"))
+    return F.when(F.size(known) > 0, F.round(total / F.size(known) / 1_000_000, 3))
+
+
+def ungrounded(values: DataFrame, docs: DataFrame, withheld: DataFrame | None = None) -> DataFrame:
+    """values(doc_id, start, end, text) that aren't literally in their document at their place, or that overlap a stretch of
+    withheld(doc_id, start, end), which nothing may be taken from. A null text grounds nothing."""
+    joined = values.join(docs.select("doc_id", F.coalesce("raw_text", F.lit("")).alias("raw_text")), "doc_id")
     there = F.expr("substring(raw_text, start + 1, end - start)")
-    bounds = (F.col("start") < 0) | (F.col("end") > F.length("raw_text")) | (F.col("end") <= F.col("start"))
-    return joined.where(bounds | (there != F.col("text"))).drop("raw_text")
+    bounds = (F.col("start") < 0) | (F.col("end") > F.length("raw_text")) | (F.col("end") < F.col("start"))
+    bad = bounds | (there != F.col("text"))
+    if withheld is not None:
+        of_doc = withheld.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_w"))
+        joined = joined.join(of_doc, "doc_id", "left")
+        bad = bad | F.coalesce(F.exists("_w", lambda w: (w["start"] < F.col("end")) & (F.col("start") < w["end"])), F.lit(False))
+    return joined.where(bad).select(values.columns)
 
 
 def document_status(rows: DataFrame) -> DataFrame:
-    """rows(…, legible, mean_confidence, n_withheld, n_low_lines, n_suspect_pages) with `status`."""
-    low = (F.col("n_withheld") > 0) | (F.col("n_low_lines") > 0) | (F.col("n_suspect_pages") > 0) | F.coalesce(F.col("mean_confidence") < 0.8, F.lit(False))
-    return rows.withColumn("status", F.when(F.col("legible") < P.LEGIBLE_CHARS, "unreadable").when(low, "low_confidence").otherwise("ok"))
+    """rows(…, legible, mean_confidence, n_withheld, n_low_lines, n_doubts, n_suspect_pages, failed) with `status`. A text with
+    too few letters and digits outside withheld lines is unreadable, before anything is extracted that could fail."""
+    low = (F.col("n_withheld") > 0) | (F.col("n_low_lines") > 0) | (F.col("n_doubts") > 0) | (F.col("n_suspect_pages") > 0) | F.coalesce(F.col("mean_confidence") < SURE_DOCUMENT, F.lit(False))
+    return rows.withColumn("status", F.when(F.col("legible") < P.LEGIBLE_CHARS, "unreadable").when(F.col("failed"), "failed").when(low, "low_confidence").otherwise("ok"))
+
+
+def page_status(suspect: Column, text: Column) -> Column:
+    """ok, suspect (a page check withheld the page) or no_text."""
+    return F.when(suspect, "suspect").when(F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) < P.LEGIBLE_CHARS, "no_text").otherwise("ok")

@@ -1,6 +1,9 @@
-"""Values in documents, by pattern: routes of lines, medicines, laboratory rows, vital signs, sections and headers.
+"""Values in lines of documents, by pattern and from the spans of recognisers: routes of lines, medicines, laboratory rows,
+vital signs, panels, sections and headers.
 
-Recognisers of names (neural or by lexicon) plug in as a table of spans; see plugins.
+Values are verbatim stretches of the text. An item is a record of a field (a medicine, a laboratory row, a diagnosis ...)
+with its values as `parts`; a part's `start` counts code points of the document from 0. Recognisers of names plug in as a
+table of spans; see plugins.
 """
 
 from __future__ import annotations
@@ -9,108 +12,290 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions import patterns as P
-from doclens.operators.lines import tidy
+from doclens.operators import checks
+from doclens.operators.lines import block_of, lead, staged, tidy
+
+#: A value in an item. `sub` names it within the item; method is "pattern" or "model"; score is a model's.
+PART = "struct<sub:string,text:string,start:int,method:string,score:double,reasons:array<string>>"
+ITEM = f"struct<field:string,parts:array<{PART}>>"
+SPAN = "struct<start:int,end:int,kind:string,score:double>"
+#: A score below this makes a value doubtful, and is no evidence of a medicine by itself.
+SURE_SCORE = 0.60
+#: Fields that only a document about a patient has.
+OF_A_PATIENT = ("diagnoses", "symptoms", "allergies", "tests", "test_results")
+#: Lists in which a text counts once.
+LISTS = ("diagnoses", "symptoms", "tests", "allergies")
+BY_PATTERN, MENTIONED, UNKNOWN_TEST, BARE_LABEL, NO_SEPARATOR, CONFUSABLE = (
+    "found by pattern only", "named, which is not evidence that it was prescribed", "test name found by pattern only", "name from a bare label", "name from a label without a separator",
+    "may be a misreading of another name",
+)
+
+
+# ---- parts and items
+
+
+def reasons(*found: Column | str) -> Column:
+    return F.filter(F.array(*(F.lit(r) if isinstance(r, str) else r for r in found)).cast("array<string>"), lambda r: r.isNotNull())
+
+
+def part(sub: str, text: Column, start: Column, why: Column | None = None, model: Column | None = None, score: Column | None = None) -> Column:
+    """A value, or null if its text is null or empty; `model`: did a recogniser find it?"""
+    model = F.lit(False) if model is None else F.coalesce(model, F.lit(False))
+    score = F.when(model, score).cast("double") if score is not None else F.lit(None).cast("double")
+    why = F.concat(F.array().cast("array<string>") if why is None else why, reasons(F.when(score < SURE_SCORE, "low score of the recogniser")))
+    value = F.struct(F.lit(sub).alias("sub"), text.alias("text"), start.cast("int").alias("start"), F.when(model, "model").otherwise("pattern").alias("method"), F.round(score, 3).alias("score"), why.alias("reasons"))
+    return F.when(F.coalesce(text != "", F.lit(False)), value.cast(PART))
+
+
+def item(field: Column | str, *parts: Column) -> Column:
+    """An item of the parts that aren't null, the first of which must be there; else null."""
+    field = F.lit(field) if isinstance(field, str) else field
+    kept = F.filter(F.array(*parts), lambda p: p.isNotNull())
+    return F.when(parts[0].isNotNull(), F.struct(field.alias("field"), kept.alias("parts")).cast(ITEM))
+
+
+def _none(kind: str = ITEM) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def span_part(sub: str, span: Column, line: Column, line_start: Column, why: Column | None = None) -> Column:
+    text = F.substring(line, span["start"] + 1, span["end"] - span["start"])
+    return part(sub, text, line_start + span["start"], why, F.lit(True), span["score"])
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """An array of (text, at): text cut at what group 1 of a pattern takes in, the even ones between, the odd ones taken."""
+    cut = F.split(F.regexp_replace(text, pattern, "\x01$1\x01"), "\x01")
+    size = lambda i: F.aggregate(F.slice(cut, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+    return F.transform(cut, lambda x, i: F.struct(x.alias("text"), size(i).alias("at"), (i % 2 == 1).alias("taken")))
+
+
+def find(text: Column, mark: P.Mark) -> tuple[Column, Column]:
+    """(the first of something in a text, or null; characters before it)."""
+    return F.nullif(F.regexp_extract(text, mark.parts, 2), F.lit("")), F.length(F.regexp_extract(text, mark.parts, 1))
+
+
+# ---- routes
 
 
 def prescribed_looking(line: Column) -> Column:
-    return line.rlike(P.FREQUENCY_CODE) | line.rlike(P.MEDICINE_DOSE) | F.ltrim(line).rlike(P.LEADING_FORM)
+    return line.rlike(P.FREQUENCY_CODE.anywhere) | line.rlike(P.MEDICINE_DOSE) | F.ltrim(line).rlike(P.LEADING_FORM)
 
 
 def lab_row(line: Column) -> Column:
     """A line that is a laboratory row without a recogniser's help: with a unit or a range, and no label or date."""
-    parts = [F.regexp_extract(line, P.LAB_ROW, i) for i in (3, 4)]
-    return line.rlike(P.LAB_ROW) & ((parts[0] != "") | (parts[1] != "")) & ~line.rlike(P.NOT_MEDICINE_LINE) & ~line.rlike(P.DATE)
+    some = (F.regexp_extract(line, P.LAB_ROW, 6) != "") | (F.regexp_extract(line, P.LAB_ROW, 8) != "")
+    return line.rlike(P.LAB_ROW) & some & ~line.rlike(P.NOT_MEDICINE_LINE) & ~line.rlike(P.DATE)
 
 
-def route(lines: DataFrame) -> DataFrame:
-    """lines(…, line) with `route`, the first of the extractors that a line goes to."""
+def route(lines: DataFrame, by_span: bool = False) -> DataFrame:
+    """lines(…, line) with `route`, the first of the extractors that a line goes to; `by_span`: tests and medicines among
+    `spans` may make a laboratory row of it."""
     line = F.col("line")
+    row = lab_row(line)
+    if by_span:
+        tests = F.exists("spans", lambda s: s["kind"] == "test")
+        drugs = F.exists("spans", lambda s: (s["kind"] == "drug") & _row_with_evidence(s, line))
+        row = row | tests | drugs
+    shaped = staged(lines, _rx=prescribed_looking(line))
     way = (
         F.when(line.rlike(P.ALLERGY) | line.rlike(P.NO_ALLERGY), "allergy").when(line.rlike(P.DIAGNOSIS), "diagnosis").when(line.rlike(P.COMPLAINT), "complaint")
-        .when(~prescribed_looking(line) & line.rlike(P.VITAL_MEASURE), "vitals").when(F.trim(line).rlike(P.PANEL), "panel")
-        .when(~prescribed_looking(line) & lab_row(line), "lab").otherwise("medicine")
+        .when(~F.col("_rx") & line.rlike(P.VITAL_MEASURE), "vitals").when(F.trim(line).rlike(P.PANEL), "panel")
+        .when(~F.col("_rx") & row, "lab").otherwise("medicine")
     )
-    return lines.withColumn("route", way)
+    return staged(shaped, route=way).drop("_rx")
 
 
-def lab_results(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, name, value, unit, reference_range) of lines that are laboratory rows."""
-    rows = lines.where(lab_row(F.col("line")))
-    part = lambda i: F.regexp_extract("line", P.LAB_ROW, i)
-    return rows.select("doc_id", "line_no", part(1).alias("name"), part(2).alias("value"), F.nullif(part(3), F.lit("")).alias("unit"), F.nullif(part(4), F.lit("")).alias("reference_range"))
+def _after(span: Column, line: Column) -> Column:
+    return F.substring(line, span["end"] + 1, F.length(line))
 
 
-def vitals(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, n, name, value, unit): every vital sign on the lines of that route."""
-    every = F.arrays_zip(*(F.regexp_extract_all("line", F.lit(P.VITAL_MEASURE), F.lit(i)) for i in (1, 2, 3)))
-    rows = route(lines).where("route = 'vitals'").select("doc_id", "line_no", F.posexplode(every).alias("n", "v"))
-    return rows.select("doc_id", "line_no", "n", F.col("v")["0"].alias("name"), F.col("v")["1"].alias("value"), F.nullif(F.col("v")["2"], F.lit("")).alias("unit"))
+def _row_with_evidence(span: Column, line: Column) -> Column:
+    rest = _after(span, line)
+    return rest.rlike(P.LAB_REST) & ((F.regexp_extract(rest, P.LAB_REST, 4) != "") | (F.regexp_extract(rest, P.LAB_REST, 6) != "")) & ~_dated(rest)
 
 
-def panels(lines: DataFrame) -> DataFrame:
-    return route(lines).where("route = 'panel'").select("doc_id", "line_no", tidy(F.col("line")).alias("panel"))
+def _dated(rest: Column) -> Column:
+    """Does a date stand where a row's value would?"""
+    at = F.length(F.regexp_extract(rest, P.LAB_REST, 1))
+    return F.substring(rest, at + 1, F.length(rest)).rlike(P.DATE_AHEAD)
 
 
-def section_items(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, n, field, item) of diagnosis, complaint and allergy lines; n counts the parts of a line.
+# ---- what each route gives, as an array of items; `line`, `start` and `spans` are columns of the lines
+
+
+def _section(line: Column, start: Column, by_span: bool = True) -> Column:
+    """Items of allergy, diagnosis and complaint lines.
 
-    A section ends at a duration; absences are no items.
+    A section ends at a duration; absences are no items. Of recognised names those on an allergy line are the allergens; else
+    one name that is short beside its part makes the whole part an item, other names stand for themselves.
     """
-    body = F.coalesce(*(F.when(F.col("route") == r, F.regexp_extract("line", rf"{p}(.*)$", 1)) for r, p in (("allergy", P.ALLERGY), ("diagnosis", P.DIAGNOSIS), ("complaint", P.COMPLAINT))))
-    rows = route(lines).where("route in ('allergy', 'diagnosis', 'complaint')").withColumn("body", body)
-    rows = rows.where(~((F.col("route") == "allergy") & (F.col("line").rlike(P.NO_ALLERGY) | F.col("body").rlike(P.ABSENT))))
-    parts = F.split(F.regexp_replace("body", r"(?s)\s(?:x|for|since)\s*[0-9].*$", ""), r",|;|\band\b")
-    items = rows.select("doc_id", "line_no", "route", F.posexplode(parts).alias("n", "part")).withColumn("item", tidy(F.col("part")))
-    field = F.when(F.col("route") == "allergy", "allergies").when(F.col("route") == "diagnosis", "diagnoses").otherwise("symptoms")
-    return items.where((F.length("item") >= 2) & F.col("item").rlike("[A-Za-z]") & ~F.col("item").rlike(P.ABSENT)).select("doc_id", "line_no", "n", field.alias("field"), "item")
+    way = F.col("route")
+    at = F.coalesce(*(F.when(way == r, F.length(F.regexp_extract(line, rf"(?s)^(.*?{p})", 1))) for r, p in (("allergy", P.ALLERGY), ("diagnosis", P.DIAGNOSIS), ("complaint", P.COMPLAINT))), F.lit(0))
+    body = F.substring(line, at + 1, F.length(line))
+    stop = rf"(?s)^(.*?){P.SECTION_END}"
+    body = F.when(body.rlike(stop), F.regexp_extract(body, stop, 1)).otherwise(body)
+    nothing = (way == "allergy") & (line.rlike(P.NO_ALLERGY) | F.substring(line, at + 1, F.length(line)).rlike(P.ABSENT))
+    kinds = F.when(way == "allergy", F.array(*map(F.lit, ("drug", "allergy", "disease")))).otherwise(F.array(*map(F.lit, ("disease", "symptom"))))
+    named = F.filter("spans", lambda s: F.array_contains(kinds, s["kind"]) & (s["start"] >= at))
+    field = F.when(way == "allergy", "allergies").when(way == "diagnosis", "diagnoses").otherwise("symptoms")
+
+    def one(p: Column) -> Column:
+        text, a = tidy(p["text"]), at + p["at"] + lead(p["text"])
+        inside = F.filter(named, lambda s: (s["start"] >= a) & (s["start"] < a + F.length(text)))
+        first = F.get(inside, F.lit(0))
+        short = (F.size(inside) == 1) & (first["end"] - first["start"] < 0.6 * F.length(text))
+        whole = F.array(item(field, part("text", text, start + a, F.when(F.size(inside) == 0, reasons(BY_PATTERN)).otherwise(_none("string")), short, first["score"])))
+        each = F.transform(inside, lambda s: item(field, span_part("text", s, line, start)))
+        good = (F.length(text) >= 2) & text.rlike("[A-Za-z]") & ~text.rlike(P.ABSENT)
+        return F.when(good, F.when((F.size(inside) == 0) | short, whole).otherwise(each)).otherwise(_none())
+
+    def plain(p: Column) -> Column:
+        text = tidy(p["text"])
+        good = (F.length(text) >= 2) & text.rlike("[A-Za-z]") & ~text.rlike(P.ABSENT)
+        return F.when(good, item(field, part("text", text, start + at + p["at"] + lead(p["text"]), reasons(BY_PATTERN))))
+
+    parts = F.filter(pieces(body, P.ITEM_BREAK), lambda p: ~p["taken"])
+    if not by_span:
+        return F.when(nothing, _none()).otherwise(F.filter(F.transform(parts, plain), lambda x: x.isNotNull()))
+    by_part = F.flatten(F.transform(parts, one))
+    allergens = F.transform(named, lambda s: item(field, span_part("text", s, line, start)))
+    return F.when(nothing, _none()).when((way == "allergy") & (F.size(named) > 0), allergens).otherwise(by_part)
+
+
+def _vitals(line: Column, start: Column) -> Column:
+    """Every vital sign on a line."""
+    group = lambda m, i: F.regexp_extract(m["text"], P.VITAL_MEASURE, i)
+
+    def one(m: Column) -> Column:
+        at, name, gap, unit = start + m["at"], group(m, 1), group(m, 2), group(m, 4)
+        return item("vitals", part("name", name, at), part("value", group(m, 3), at + F.length(name) + F.length(gap)), part("unit", unit, at + F.length(m["text"]) - F.length(unit)))
+
+    return F.transform(F.filter(pieces(line, f"({P.VITAL_MEASURE})"), lambda p: p["taken"]), one)
+
+
+def _panel(line: Column, start: Column) -> Column:
+    return F.filter(F.array(item("panels", part("text", tidy(line), start + lead(line)))), lambda x: x.isNotNull())
+
+
+def _lab_item(name: Column, text: Column, pattern: str, first: int, at: Column) -> Column:
+    """A row from its groups: `first` is the number of the gap after the name, `at` where that gap begins."""
+    g = [F.regexp_extract(text, pattern, first + k) for k in range(6)]
+    ends, sizes = [], F.lit(0)
+    for x in g:
+        sizes = sizes + F.length(x)
+        ends.append(at + sizes)
+    value, reference = g[1], g[5]
+    slip = F.when((reference != "") & checks.decimal_slip(value, reference), "more than ten times outside the range")
+    return item("test_results", name, part("value", value, ends[0], reasons(slip)), part("unit", g[3], ends[2]), part("reference_range", reference, ends[4]))
+
+
+def _confusable(text: Column) -> Column:
+    return F.when(checks.meant_name(text).isNotNull(), CONFUSABLE)
+
+
+def _lab(line: Column, start: Column, by_span: bool = True) -> Column:
+    """Rows after recognised names; a medicine's name counts with a unit or range only. A name within an earlier name's row
+    is part of that. A test without a row is a test. Without any, the whole line is a row if it is shaped like one."""
+    name, at = F.regexp_extract(line, P.LAB_ROW, 2), start + F.length(F.regexp_extract(line, P.LAB_ROW, 1))
+    by_shape = _lab_item(part("name", name, at, reasons(UNKNOWN_TEST, _confusable(name))), line, P.LAB_ROW, 3, at + F.length(name))
+    whole = F.filter(F.array(F.when(lab_row(line), by_shape)), lambda x: x.isNotNull())
+    if not by_span:
+        return whole
+    spans = F.array_sort(F.filter("spans", lambda s: s["kind"].isin("test", "drug")))
+    has_row = lambda s: _after(s, line).rlike(P.LAB_REST) & ~_dated(_after(s, line)) & ((s["kind"] == "test") | _row_with_evidence(s, line))
+    end = lambda s: sum((F.length(F.regexp_extract(_after(s, line), P.LAB_REST, i)) for i in range(1, 7)), s["end"])
+    free = F.filter(spans, lambda s: ~F.exists(spans, lambda o: (o["start"] < s["start"]) & has_row(o) & (s["start"] < end(o))))
+    name_of = lambda sub, s: span_part(sub, s, line, start, reasons(_confusable(F.substring(line, s["start"] + 1, s["end"] - s["start"]))))
+    found = F.transform(free, lambda s: F.when(has_row(s), _lab_item(name_of("name", s), _after(s, line), P.LAB_REST, 1, start + s["end"])).when(s["kind"] == "test", item("tests", name_of("text", s))))
+    found = F.filter(found, lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, found).otherwise(whole)
+
+
+# ---- medicines
 
 
 def segments(lines: DataFrame) -> DataFrame:
-    """lines with one row for each medicine's stretch of the line: `seg_no` and `seg`."""
-    cut = F.concat(F.substring("line", 1, 3), F.regexp_replace(F.expr("substring(line, 4)"), P.SEGMENT, "$1\x01$2"))
-    return lines.select("*", F.posexplode(F.split(cut, "\x01")).alias("seg_no", "seg"))
+    """lines with one row for each medicine's stretch of the line: `seg_no`, `seg` and where it begins, `seg_at`."""
+    cut = F.split(F.concat(F.substring("line", 1, 3), F.regexp_replace(F.expr("substring(line, 4)"), P.SEGMENT, "$1\x01$2")), "\x01")
+    rows = staged(lines, _cut=cut)
+    at = lambda i: F.aggregate(F.slice("_cut", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+    return rows.select(*lines.columns, F.inline(F.transform("_cut", lambda x, i: F.struct(i.alias("seg_no"), x.alias("seg"), at(i).alias("seg_at")))))
 
 
-def _after_name(rows: DataFrame) -> DataFrame:
-    """rows(seg, from_form) with the name at the head of from_form, and `rest`: the text behind it."""
-    head = F.when(F.col("from_form").rlike(P.NAME_STOP), F.regexp_extract("from_form", P.NAME_STOP, 1)).otherwise(F.col("from_form"))
-    rows = rows.withColumn("head", head).withColumn("name", tidy(F.col("head")))
-    lead = F.length("head") - F.length(F.regexp_replace("head", P.TIDY_LEFT, ""))
-    return rows.withColumn("lead", lead).withColumn("rest", F.expr("substring(from_form, lead + length(name) + 1)"))
+def medicines(lines: DataFrame) -> DataFrame:
+    """Rows of lines(…, line, spans, mention) for each medicine that a line prescribes or, where `mention`, only names: seg_no,
+    seg_at, seg_end, name, name_at, by_model, score, and dosage, frequency and duration with where they begin (…_at), all
+    counted from the line's start; `line` from the name on is checked for what looks misread.
 
-
-def _strength(rows: DataFrame) -> DataFrame:
-    rest = F.col("rest")
-    dose, bare = F.nullif(F.regexp_extract(rest, P.DOSE, 2), F.lit("")), F.nullif(F.regexp_extract(rest, P.BARE_NUMBER, 1), F.lit(""))
-    return rows.withColumns({"dose": dose, "several": rest.rlike(P.STRENGTHS)}).withColumn("dosage", F.when(~F.col("several"), F.coalesce("dose", bare)))
+    A medicine that a line prescribes needs a dosage form before it, a dosing code or a dose of one digit; one whose name a
+    recogniser found needs any of these, a phrase or a duration. One that is only named must be a recogniser's or a product
+    with its form, beside a strength, a form, or with a sure score.
+    """
+    rows = segments(lines.where(~F.col("line").rlike(P.NOT_MEDICINE_LINE)))
+    rows = staged(rows, head=F.length(F.regexp_extract("seg", f"({P.NUMBERED})", 1)), drug=F.get(F.filter("spans", lambda s: (s["kind"] == "drug") & (s["start"] >= F.col("seg_at")) & (s["start"] < F.col("seg_at") + F.length("seg"))), F.lit(0)))
+    rows = staged(rows, body=F.expr("substring(seg, head + 1)"))
+    taken = F.expr("substring(line, drug.start + 1, drug.end - drug.start)")
+    rows = staged(
+        rows, form=F.length(F.regexp_extract("body", P.LEADING_FORM, 1)), before=F.length(F.regexp_extract("body", P.PRODUCT, 1)), product=F.regexp_extract("body", P.PRODUCT, 2),
+        drug_form=F.coalesce(F.length(F.regexp_extract(taken, P.LEADING_FORM, 1)), F.lit(0)),
+    )
+    by_model, body_at = F.col("drug").isNotNull(), F.col("seg_at") + F.col("head")
+    begin = F.when(by_model, F.col("drug.start") + F.col("drug_form")).when(F.col("mention"), body_at + F.col("before")).otherwise(body_at + F.col("form"))
+    seg_end = F.col("seg_at") + F.length("seg")
+    end = F.when(by_model, F.col("drug.end")).when(F.col("mention"), begin + F.length("product")).otherwise(seg_end)
+    known = by_model | ~F.col("mention") | ((F.col("product") != "") & ~F.lower("product").isin(*P.NOT_PRODUCT))
+    rows = staged(rows, begin=begin, seg_end=seg_end, by_model=by_model, source=F.when(known, F.substring(F.col("line"), begin + 1, end - begin)))
+    rows = staged(rows.where("source is not null"), stretch=F.when(F.col("source").rlike(P.NAME_STOP), F.regexp_extract("source", P.NAME_STOP, 1)).otherwise(F.col("source")))
+    rows = staged(rows, name=tidy(F.col("stretch")), name_at=F.col("begin") + lead(F.col("stretch")))
+    named = (F.length("name") >= 2) & F.col("name").rlike("[A-Za-z]{3,}") & ~F.col("name").rlike(P.WHOLE_DOSE) & ~F.col("name").rlike(f"^{P.STRENGTHS}")
+    # a letter or space stands for the name's last character, so that boundaries hold
+    rest = F.expr("substring(line, name_at + length(name) + 1, seg_end - name_at - length(name))")
+    rows = staged(rows.where(named), tail=F.concat(F.when(F.col("name").rlike(r"\w$"), "a").otherwise(" "), rest), base=F.col("name_at") + F.length("name") - 1)
+    tail = F.col("tail")
+    found = {n: find(tail, m) for n, m in (("dose", P.DOSE), ("bare", P.BARE_NUMBER), ("code", P.FREQUENCY_CODE), ("phrase", P.FREQUENCY_PHRASE), ("span", P.DURATION))}
+    rows = staged(rows, several=tail.rlike(P.STRENGTHS), **{n: v for n, (v, _) in found.items()}, **{f"{n}_at": F.col("base") + a for n, (_, a) in found.items()})
+    amount = F.col("dose").isNotNull()
+    earlier = F.col("code").isNotNull() & (F.col("phrase").isNull() | (F.col("code_at") <= F.col("phrase_at")))
+    times = ~F.col("mention")
+    rows = staged(
+        rows, dosage=F.when(~F.col("several"), F.coalesce("dose", "bare")), dosage_at=F.when(amount, F.col("dose_at")).otherwise(F.col("bare_at")),
+        frequency=F.when(times, F.when(earlier, F.col("code")).otherwise(F.col("phrase"))), frequency_at=F.when(earlier, F.col("code_at")).otherwise(F.col("phrase_at")),
+        duration=F.when(times, F.col("span")), duration_at=F.col("span_at"), score=F.col("drug.score"),
+    )
+    strong = (F.col("form") > 0) | F.col("code").isNotNull() | F.coalesce(F.col("dose").rlike(P.PLAIN_DOSE), F.lit(False))
+    weak = F.col("by_model") & (F.col("phrase").isNotNull() | F.col("span").isNotNull())
+    beside = F.col("dosage").isNotNull() | F.col("several") | (F.col("form") > 0) | (F.col("product") != "") | F.coalesce(F.col("score") >= SURE_SCORE, F.lit(False))
+    rows = staged(rows, kept=F.when(F.col("mention"), beside).otherwise(strong | weak)).where("kept")
+    return rows.select(*lines.columns, "seg_no", "seg_at", "seg_end", "name", "name_at", "by_model", "score", *(c for n in ("dosage", "frequency", "duration") for c in (n, f"{n}_at")))
+
+
+def medicine_items(rows: DataFrame) -> DataFrame:
+    """rows of medicines() with `item`."""
+    doubts = checks.misread(F.expr("substring(line, name_at + 1)"), F.col("dosage"), F.expr("substring(line, dosage_at + length(dosage) + 1, 3)"))
+    rows = staged(rows, _dose=doubts["dose_letters"], _code=doubts["code_letters"], _stray=doubts["stray_capital"])
+    dose, code, stray = (F.when(F.col(c).isNotNull(), F.lit(w)) for c, w in (("_dose", "letters in a dose"), ("_code", "letters in a dosing code"), ("_stray", "stray capital after a dose")))
+    at = lambda c: F.col("start") + F.col(c)
+    why = reasons(F.when(F.col("mention"), MENTIONED), F.when(~F.col("by_model"), BY_PATTERN), dose, code, stray)
+    made = item(
+        F.when(F.col("mention"), "medication_mentions").otherwise("medications"), part("name", F.col("name"), at("name_at"), why, F.col("by_model"), F.col("score")),
+        part("dosage", F.col("dosage"), at("dosage_at"), reasons(dose, stray)), part("frequency", F.col("frequency"), at("frequency_at"), reasons(code)), part("duration", F.col("duration"), at("duration_at")),
+    )
+    return staged(rows, item=made)
 
 
-def _is_name() -> Column:
-    return (F.length("name") >= 2) & F.col("name").rlike("[A-Za-z]{3,}") & ~F.col("name").rlike(rf"(?i)^[0-9]+(?:\.[0-9]+)?\s?{P.DOSE_UNIT}$")
+def _plain(lines: DataFrame, mention: bool) -> DataFrame:
+    return lines.withColumns({"spans": _none(SPAN), "mention": F.lit(mention)})
 
 
 def prescribed_medicines(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, seg_no, name, dosage, frequency, duration) of medicines that a line prescribes.
-
-    A name found by pattern needs a dosage form before it, a dosing code, or a dose in a medicine's unit.
-    """
-    rows = segments(lines.where(~F.col("line").rlike(P.NOT_MEDICINE_LINE)))
-    rows = rows.withColumn("body", F.regexp_replace("seg", P.NUMBERED, "")).withColumn("form", F.regexp_extract("body", P.LEADING_FORM, 1))
-    rows = _strength(_after_name(rows.withColumn("from_form", F.expr("substring(body, length(form) + 1)")))).where(_is_name())
-    group = lambda i: F.nullif(F.regexp_extract("rest", P.FREQUENCY, i), F.lit(""))
-    rows = rows.withColumns({"frequency": F.coalesce(group(2), group(4)), "duration": F.nullif(F.regexp_extract("rest", P.DURATION, 1), F.lit(""))})
-    strong = (F.col("form") != "") | F.col("rest").rlike(P.FREQUENCY_CODE) | F.coalesce(F.col("dose").rlike(P.MEDICINE_DOSE), F.lit(False))
-    return rows.where(strong).select("doc_id", "line_no", "seg_no", "name", "dosage", "frequency", "duration")
+    """(doc_id, line_no, seg_no, name, dosage, frequency, duration) of medicines that lines prescribe, without a recogniser."""
+    return medicines(_plain(lines, False)).select("doc_id", "line_no", "seg_no", "name", "dosage", "frequency", "duration")
 
 
 def mentioned_medicines(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, seg_no, name, dosage) of products named with their dosage form: named, not prescribed."""
-    rows = segments(lines.where(~F.col("line").rlike(P.NOT_MEDICINE_LINE)))
-    rows = rows.withColumn("body", F.regexp_replace("seg", P.NUMBERED, "")).where(F.col("body").rlike(P.PRODUCT))
-    rows = rows.withColumn("from_form", F.regexp_extract("body", P.PRODUCT, 1)).where(~F.lower("from_form").isin(P.NOT_PRODUCT))
-    rows = _after_name(rows)
-    rows = _strength(rows.withColumn("rest", F.expr("substring(body, locate(from_form, body) + lead + length(name))"))).where(_is_name())
-    return rows.select("doc_id", "line_no", "seg_no", "name", "dosage")
+    return medicines(_plain(lines, True)).select("doc_id", "line_no", "seg_no", "name", "dosage")
 
 
 def mention_only(line: Column, about_a_patient: Column) -> Column:
@@ -121,47 +306,133 @@ def mention_only(line: Column, about_a_patient: Column) -> Column:
 def mention_key(name: Column) -> Column:
     """A medicine's name without salts at its end (one word stays)."""
     words = F.trim(F.regexp_replace(F.lower(name), r"[\s.]+", " "))
-    return F.regexp_replace(words, rf"(?: \(?(?:{P.SALTS})\)?)+$", "")
+    return F.regexp_replace(words, rf"(?: \(?(?:{'|'.join(P.SALTS)})\)?)+$", "")
 
 
-def first_wins(rows: DataFrame, key: Column, order: list[str], by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The earliest of the rows of a document with one key."""
-    w = Window.partitionBy(*by, "_key").orderBy(*order)
-    return rows.withColumn("_key", key).withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_key", "_nth")
+# ---- lines to items
 
 
-def headers(docs: DataFrame) -> DataFrame:
-    """(doc_id, doctor_name, patient_name, date) from the whole text; null where there is none.
+def with_spans(lines: DataFrame, spans: DataFrame | None) -> DataFrame:
+    """lines with `spans`, those of spans(doc_id, line_no, kind, start, end, score) that begin in each, counted from its start."""
+    if spans is None:
+        return lines.withColumn("spans", _none(SPAN))
+    of_line = spans.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "score").cast(SPAN))).alias("_spans"))
+    moved = F.transform(F.coalesce("_spans", _none(SPAN)), lambda s: F.struct((s["start"] - F.col("start")).alias("start"), (s["end"] - F.col("start")).alias("end"), s["kind"].alias("kind"), s["score"].alias("score")).cast(SPAN))
+    return lines.join(of_line, ["doc_id", "line_no"], "left").withColumn("spans", moved).drop("_spans")
+
+
+def line_items(lines: DataFrame, by_span: bool = False) -> DataFrame:
+    """(doc_id, line_no, about_a_patient, item) from lines(doc_id, line_no, start, line, spans, about_a_patient), each line by its
+    route; what a recogniser found on a line that no medicine claims stands for itself."""
+    line, start = F.col("line"), F.col("start")
+    routed = route(lines, by_span)
+    direct = routed.where("route <> 'medicine'")
+    found = (
+        F.when(F.col("route").isin("allergy", "diagnosis", "complaint"), _section(line, start, by_span)).when(F.col("route") == "vitals", _vitals(line, start))
+        .when(F.col("route") == "panel", _panel(line, start)).otherwise(_lab(line, start, by_span))
+    )
+    direct = direct.select("doc_id", "line_no", "about_a_patient", F.explode(found).alias("item"))
+    rows = staged(routed.where("route = 'medicine'"), mention=mention_only(line, F.col("about_a_patient")))
+    drugs = medicine_items(medicines(rows))
+    out = direct.unionByName(drugs.select("doc_id", "line_no", "about_a_patient", "item"))
+    if not by_span:
+        return out
+    claimed = drugs.groupBy("doc_id", "line_no").agg(F.collect_list(F.struct(F.col("name_at").alias("a"), F.col("seg_end").alias("z"))).alias("claimed"))
+    left = rows.where(F.size("spans") > 0).join(claimed, ["doc_id", "line_no"], "left").withColumn("claimed", F.coalesce("claimed", _none("struct<a:int,z:int>")))
+    each = left.select("doc_id", "line_no", "about_a_patient", "line", "start", "claimed", F.explode("spans").alias("s"))
+    outside = ~F.exists("claimed", lambda c: (c["a"] <= F.col("s.start")) & (F.col("s.start") < c["z"]))
+    s = F.col("s")
+    field = F.when((s["kind"] == "test") & outside, "tests").when((F.size("claimed") == 0) & (s["kind"] == "disease"), "diagnoses").when((F.size("claimed") == 0) & (s["kind"] == "symptom"), "symptoms")
+    why = reasons(F.when(s["kind"] == "test", _confusable(F.substring(line, s["start"] + 1, s["end"] - s["start"]))))
+    return out.unionByName(each.where(field.isNotNull()).select("doc_id", "line_no", "about_a_patient", item(field, span_part("text", s, line, start, why)).alias("item")))
+
+
+def lab_results(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, name, value, unit, reference_range) of lines that are laboratory rows by their shape."""
+    rows = lines.where(lab_row(F.col("line")))
+    group = lambda i: F.nullif(F.regexp_extract("line", P.LAB_ROW, i), F.lit(""))
+    return rows.select("doc_id", "line_no", group(2).alias("name"), group(4).alias("value"), group(6).alias("unit"), group(8).alias("reference_range"))
+
+
+def _texts(x: Column, sub: str) -> Column:
+    return F.get(F.filter(x["parts"], lambda p: p["sub"] == sub), F.lit(0))["text"]
+
+
+def vitals(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, n, name, value, unit): every vital sign on the lines of that route."""
+    rows = route(with_spans(lines, None)).where("route = 'vitals'").select("doc_id", "line_no", F.posexplode(_vitals(F.col("line"), F.col("start"))).alias("n", "v"))
+    return rows.select("doc_id", "line_no", "n", *(_texts(F.col("v"), s).alias(s) for s in ("name", "value", "unit")))
+
+
+def panels(lines: DataFrame) -> DataFrame:
+    return route(lines).where("route = 'panel'").select("doc_id", "line_no", tidy(F.col("line")).alias("panel"))
+
+
+def section_items(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, n, field, item) of diagnosis, complaint and allergy lines, n counting a line's items from 0."""
+    rows = route(with_spans(lines, None)).where("route in ('allergy', 'diagnosis', 'complaint')")
+    rows = rows.select("doc_id", "line_no", F.posexplode(_section(F.col("line"), F.col("start"), by_span=False)).alias("n", "v"))
+    return rows.select("doc_id", "line_no", "n", F.col("v.field").alias("field"), _texts(F.col("v"), "text").alias("item"))
 
-    The date is the first on a line that speaks of dates, else the first.
-    """
-    text = F.col("raw_text")
-    doctor = F.regexp_extract(text, P.DOCTOR, 1)
-    doctor = F.regexp_replace(F.when(doctor.rlike(P.DOCTOR_TAIL), F.regexp_extract(doctor, P.DOCTOR_TAIL, 1)).otherwise(doctor), "[,. ]+$", "")
-    patient = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, P.PATIENT, 1), P.PATIENT_TAIL, ""), "[.]+$", "")
-    lines = F.split(text, "\n")
-    dated = lambda ls: F.transform(F.filter(ls, lambda x: x.rlike(P.DATE)), lambda x: F.coalesce(F.nullif(F.regexp_extract(x, P.DATE, 2), F.lit("")), F.regexp_extract(x, P.DATE, 4)))
-    date = F.coalesce(F.get(dated(F.filter(lines, lambda x: x.rlike(P.DATE_WORDS))), F.lit(0)), F.get(dated(lines), F.lit(0)))
-    return docs.select("doc_id", F.nullif(doctor, F.lit("")).alias("doctor_name"), F.nullif(patient, F.lit("")).alias("patient_name"), date.alias("date"))
 
+# ---- headers
 
-def patient_names(docs: DataFrame) -> DataFrame:
-    """(doc_id, patient_name, reason) from classified docs(doc_id, raw_text, about_a_patient).
 
-    An explicit label names the patient. Where the document may be about a patient, a bare "Name:" does too if there are
-    demographics and no payee within two lines of it, and so does "Pt" before a capitalised name; both carry a reason.
+def headers(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, raw_text, about_a_patient, …) with an array `headers` of items: doctor_name, date and patient_name.
+
+    The doctor's name loses credentials at its end. The date is the first on a line that speaks of dates, else the first. An
+    explicit label names the patient; where the document may be about a patient, a bare "Name:" does too if there are
+    demographics and no payee within two lines of it, and so does "Pt" before a capitalised name at a line's start, both with
+    a reason for review. Labels of the next field at a name's end are not part of it.
     """
-    text, ls = F.col("raw_text"), F.split("raw_text", "\n")
-    trimmed = lambda c: F.nullif(F.regexp_replace(F.regexp_replace(c, P.PATIENT_TAIL, ""), "[.]+$", ""), F.lit(""))
-    block = lambda i: F.array_join(F.slice(ls, F.greatest(i - 1, F.lit(1)), i + 4 - F.greatest(i - 1, F.lit(1))), "\n")
-    bare = F.transform(ls, lambda x, i: F.when(x.rlike(P.BARE_NAME) & block(i).rlike(P.DEMOGRAPHICS) & ~block(i).rlike(P.PAYEE), trimmed(F.regexp_extract(x, P.BARE_NAME, 1))))
+    text = F.col("raw_text")
+    rows = staged(docs, _ls=F.split("raw_text", "\n"))
+    rows = staged(rows, _dr=F.when(text.contains("Dr"), F.regexp_extract(text, P.DOCTOR.parts, 2)), _dr_at=F.when(text.contains("Dr"), F.length(F.regexp_extract(text, P.DOCTOR.parts, 1))))
+    doctor = F.regexp_replace(F.when(F.col("_dr").rlike(P.DOCTOR_TAIL), F.regexp_extract("_dr", P.DOCTOR_TAIL, 1)).otherwise(F.col("_dr")), "[,. ]+$", "")
+    # lines with a date, with their numbers
+    numbered = F.filter(F.transform("_ls", lambda x, i: F.struct(x.alias("line"), i.alias("no"))), lambda r: r["line"].rlike(P.DATE))
+    rows = staged(rows, _dated=numbered)
+    best = F.coalesce(F.get(F.filter("_dated", lambda r: r["line"].rlike(P.DATE_WORDS)), F.lit(0)), F.get("_dated", F.lit(0)))
+    trimmed = lambda c: F.regexp_replace(F.regexp_replace(c, P.PATIENT_TAIL, ""), "[.]+$", "")
+    whole = F.regexp_extract_all(text, F.lit(f"({P.PATIENT})"), F.lit(1))
+    labelled = F.filter(F.transform(whole, lambda m: F.struct(m.alias("match"), F.regexp_extract(m, P.PATIENT, 1).alias("name"))), lambda r: trimmed(r["name"]) != "")
     about = F.col("about_a_patient")
-    found = docs.select(
-        "doc_id", trimmed(F.regexp_extract(text, P.PATIENT, 1)).alias("a"), F.when(about, F.get(F.filter(bare, lambda n: n.isNotNull()), F.lit(0))).alias("b"),
-        F.when(about, F.nullif(F.regexp_extract(text, P.UNSEPARATED_NAME, 1), F.lit(""))).alias("c"),
+    bare = F.transform("_ls", lambda x, i: F.when(x.rlike(P.BARE_NAME) & block_of(F.col("_ls"), i).rlike(P.DEMOGRAPHICS) & ~block_of(F.col("_ls"), i).rlike(P.PAYEE) & (trimmed(F.regexp_extract(x, P.BARE_NAME, 2)) != ""), F.struct(x.alias("line"), i.alias("no"))))
+    unseparated = F.filter(F.transform("_ls", lambda x, i: F.struct(x.alias("line"), i.alias("no"))), lambda r: r["line"].rlike(P.UNSEPARATED_NAME))
+    rows = staged(
+        rows, _day=best, _a=F.get(labelled, F.lit(0)), _b=F.when(about & text.rlike("(?i)name"), F.get(F.filter(bare, lambda r: r.isNotNull()), F.lit(0))), _c=F.when(about, F.get(unseparated, F.lit(0))),
     )
-    reason = F.when(F.col("a").isNotNull(), None).when(F.col("b").isNotNull(), "bare label").when(F.col("c").isNotNull(), "label without separator")
-    return found.select("doc_id", F.coalesce("a", "b", "c").alias("patient_name"), reason.alias("reason"))
+    of_line = lambda r: F.aggregate(F.slice("_ls", F.lit(1), r["no"]), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    number, number_at = find(F.col("_day.line"), P.NUMERIC_DATE)
+    written, written_at = find(F.col("_day.line"), P.WRITTEN_DATE)
+    first = number.isNotNull() & (written.isNull() | (number_at <= written_at))
+    rows = staged(rows, _date=F.when(first, number).otherwise(written), _date_at=F.when(first, number_at).otherwise(written_at) + of_line(F.col("_day")))
+    date = part("text", F.col("_date"), F.col("_date_at"), checks.date_reasons(F.col("_date"), F.col("_today")) if "_today" in docs.columns else None)
+    a_at = F.instr(text, F.col("_a.match")) - 1 + F.length("_a.match") - F.length("_a.name")
+    line_name = lambda c, p: part("text", trimmed(F.regexp_extract(F.col(f"{c}.line"), p, 2)), of_line(F.col(c)) + F.length(F.regexp_extract(F.col(f"{c}.line"), p, 1)), reasons(BARE_LABEL if c == "_b" else NO_SEPARATOR))
+    patient = F.coalesce(part("text", trimmed(F.col("_a.name")), a_at), line_name("_b", P.BARE_NAME), line_name("_c", P.UNSEPARATED_NAME))
+    every = F.array(item("patient_name", patient), item("doctor_name", part("text", doctor, F.col("_dr_at"))), item("date", date))
+    return staged(rows, headers=F.filter(every, lambda x: x.isNotNull())).select(*docs.columns, "headers")
+
+
+def header_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, doctor_name, patient_name, date, reason): the headers as texts, with the reason to review the patient's name."""
+
+    def first(field: str) -> Column:
+        return F.get(F.filter("headers", lambda x: x["field"] == field), F.lit(0))["parts"]
+
+    rows = staged(headers(docs), **{f: F.get(first(f), F.lit(0)) for f in ("doctor_name", "patient_name", "date")})
+    return rows.select("doc_id", *(F.col(f"{f}.text").alias(f) for f in ("doctor_name", "patient_name", "date")), F.get("patient_name.reasons", F.lit(0)).alias("reason"))
+
+
+# ---- order
+
+
+def first_wins(rows: DataFrame, key: Column, order: list[str], by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The earliest of the rows of a document with one key."""
+    w = Window.partitionBy(*by, "_key").orderBy(*order)
+    return rows.withColumn("_key", key).withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_key", "_nth")
 
 
 def page_of(values: DataFrame, pages: DataFrame) -> DataFrame:

@@ -7,12 +7,28 @@ from pyspark.sql import functions as F
 
 from doclens.functions import patterns as P
 
+#: Lines whose lengths are summed at a time.
+BLOCK = 64
+
+
+def staged(df: DataFrame, **cols: Column) -> DataFrame:
+    """df with columns that are computed once: an optimiser that merges projections, or moves filters below them, would
+    compute them again for each use, but not through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in cols.items())))))
 
-def split_lines(docs: DataFrame, text: str = "raw_text") -> DataFrame:
-    """(doc_id, line_no, start, line): lines end at \\n only, a trailing empty line counts; start is a code-point offset."""
-    parts = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    before = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    return parts.withColumn("start", F.coalesce(before, F.lit(0)))
+
+def split_lines(docs: DataFrame, text: str = "raw_text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep..., line_no, start, line): lines end at \\n only, a trailing empty line counts; start is a code-point
+    offset. A null text has no lines. Nothing is shuffled: lengths are summed by blocks of lines within the row."""
+    rows = docs.where(F.col(text).isNotNull()).select("doc_id", *keep, F.split(text, "\n").alias("_ls"))
+    rows = staged(rows, _n=F.transform("_ls", lambda x: F.length(x) + 1))
+    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    blocks = F.sequence(F.lit(0), F.floor((F.size("_n") - 1) / BLOCK).cast("int"))
+    rows = staged(rows, _b=F.transform(blocks, lambda b: add(F.slice("_n", b * BLOCK + 1, BLOCK))))
+    rows = staged(rows, _s=F.transform(blocks, lambda b: add(F.slice("_b", F.lit(1), b))))
+    start = lambda i: F.get("_s", F.floor(i / BLOCK).cast("int")) + add(F.slice("_n", F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
+    each = F.transform("_ls", lambda x, i: F.struct(i.alias("line_no"), start(i).alias("start"), x.alias("line")))
+    return rows.select("doc_id", *keep, F.inline(each))
 
 
 def legible(text: Column) -> Column:
@@ -40,23 +56,49 @@ def tidy(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, P.TIDY_LEFT, ""), P.TIDY_RIGHT, "")
 
 
+def lead(text: Column) -> Column:
+    """Characters that tidy takes off a text's head."""
+    return F.length(text) - F.length(F.regexp_replace(text, P.TIDY_LEFT, ""))
+
+
+def block_of(lines: Column, i: Column, radius: int = 2) -> Column:
+    """The line with number i (from 0) of an array and those up to `radius` above and below, joined."""
+    first = F.greatest(i - radius + 1, F.lit(1))
+    return F.array_join(F.slice(lines, first, i + radius + 2 - first), "\n")
+
+
 def neighbours(lines: DataFrame, radius: int = 2) -> DataFrame:
     """lines with `block`: the lines around each, joined."""
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(-radius, radius)
     return lines.withColumn("block", F.array_join(F.collect_list("line").over(w), "\n"))
 
 
-def withhold(lines: DataFrame, withheld: str = "withheld") -> DataFrame:
-    """(doc_id, trusted): the text with withheld lines blanked, so that all offsets hold."""
+def withhold(lines: DataFrame, withheld: str = "withheld", counted: bool = False) -> DataFrame:
+    """(doc_id, trusted): the text with withheld lines blanked, so that all offsets hold; `counted`: with n_withheld too."""
     kept = lines.withColumn("kept", F.when(F.col(withheld), F.repeat(F.lit(" "), F.length("line"))).otherwise(F.col("line")))
     rows = F.array_sort(F.collect_list(F.struct("line_no", "kept")))
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["kept"]), "\n").alias("trusted"))
-
-
-def strip_wrapping(text: Column) -> Column:
-    """A reader's answer without a code fence around it; an answer that says there is no text is empty."""
-    bare = F.trim(F.regexp_replace(text, r"^\s*```[A-Za-z]*\s*\n|\n?```\s*$", ""))
-    return F.when(bare.rlike(r"(?i)^\W*no (?:readable|visible) text\W*$"), "").otherwise(bare)
+    n = [F.count(F.when(F.col(withheld), 1)).alias("n_withheld")] if counted else []
+    return kept.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["kept"]), "\n").alias("trusted"), *n)
+
+
+#: A code fence around a reader's whole answer, and an answer that there is nothing to read.
+_FENCE_HEAD, _FENCE_TAIL = r"^\s*```[A-Za-z]*[ \t]*\n", r"\n?[ \t]*```\s*$"
+_NOTHING = r"(?i)^\W*no (?:readable|visible) text\W*$"
+
+
+def strip_wrapping(answers: DataFrame, text: str = "text", confidence: str = "confidence") -> DataFrame:
+    """answers with a reader's text without a code fence and white space around it, and the probabilities of its characters
+    cut alike. An answer that says there is no text is empty and has none."""
+    whole = F.col(text)
+    fenced = whole.rlike(_FENCE_HEAD) & whole.rlike(_FENCE_TAIL)
+    head = F.when(fenced, F.length(F.regexp_extract(whole, f"({_FENCE_HEAD})", 1))).otherwise(0)
+    inner = F.when(fenced, F.regexp_replace(F.regexp_replace(whole, _FENCE_HEAD, ""), _FENCE_TAIL, "")).otherwise(whole)
+    rows = staged(answers, _inner=inner, _head=head)
+    rows = staged(rows, _bare=F.regexp_replace("_inner", r"^\s+|\s+$", ""), _at=F.col("_head") + F.length("_inner") - F.length(F.regexp_replace("_inner", r"^\s+", "")))
+    none = F.col("_bare").rlike(_NOTHING)
+    cut = F.slice(confidence, F.col("_at") + 1, F.length("_bare"))
+    out = rows.withColumns({text: F.when(none, "").otherwise(F.col("_bare")), confidence: F.when(none, F.slice(confidence, 1, 0)).otherwise(cut)})
+    return out.drop("_inner", "_head", "_bare", "_at")
 
 
 def chunks(docs: DataFrame, most: int = 900) -> DataFrame:

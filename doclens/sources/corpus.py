@@ -1,4 +1,4 @@
-"""Documents made from the star tables: invoices, prescriptions and laboratory reports, and a few rare lines in place."""
+"""Documents made from the star tables: invoices, prescriptions, laboratory reports and clinic notes."""
 
 from __future__ import annotations
 
@@ -69,20 +69,44 @@ def lab_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bodies(events, "user_id", ["event_id"]).select("doc_id", F.concat(head, "body").alias("raw_text"))
 
 
-#: Invented lines for what the tables never show: (doc_id, raw_text), \n between lines.
-RARE = (
-    (1, "Vitals: BP 120/80 mmHg, Pulse 84/min, SpO2 98%\nDx: T2DM, HTN and old MI\nAllergies: None known"),
-    (2, "C/o fever, cough x 3 days\nAllergic to penicillin, sulfa\nTemp 98.6 F\nInj Insulin 10 units, BP 140/90"),
-    (3, "Here is the text of the page:\nLiver Function Tests\nTSH 4.1 uiu/ml 0.4 - 4.0\nHbAlc 7.1 % 4.0 - 6.0"),
-    (4, "Impression: No fever\nNKDA\nTAB. OMEZ 4O MG 1-O-1 x 5 days\nTAB. DOLO 650 D"),
-    (5, "Sure, see below\nTab. Montek LC HS, Tab. Glimepiride 1 mg OD\nCap Becosules 1mg, 2mg, 5mg\nSyp Calpol 250 mg/5 ml BD for 3 days"),
-    (6, "Diagnosis: asthma; nil; rhinitis since 2019\nComplete Blood Count\nHb 12.5 g/dl 13 - 17\nESR 250 mm/hr < 20"),
-    (7, "Chief complaints: chest pain and sweating\nWt 72 kg\nTab Ecosprin 75 mg once daily\nReview with lipid profile"),
+_L = "translate(CAST(c_custkey AS STRING), '0123456789', 'abcdefghij')"
+#: Clinic notes: each customer gets one line of each list, chosen by its key; empty lines are left in. Expressions of both engines.
+NOTE_LINES = (
+    (f"'Patient Name: R' || {_L} || ' Das Age'", f"'Name: A' || {_L} || ' Rao'", f"'Pt K' || {_L} || ' Iyer'", "'Bank details'", f"'Patient: Age. Patient: V' || {_L} || ' IP No'", "''", "'Tax Invoice No ' || c_custkey"),
+    ("'Age ' || (20 + c_custkey % 60) || ' Sex F'", "'Name: Kamal'", "'30 yrs'", "'GSTIN 29' || c_custkey", "'M/' || (c_custkey % 90)", "'Manufactured by Acme'"),
+    ("'Date: 0' || (1 + c_custkey % 9) || '/11/2021'", "'seen 3 Mar 2001'", "'on 12-11-98 and 1/2/2003'", "'Dr. S' || {L} || ' Rao, MBBS MD'".replace("{L}", _L), "'Review after 2 weeks'"),
+    ("'Vitals: BP ' || (100 + c_custkey % 70) || '/80 mmHg, Pulse 84/min, SpO2 98%'", "'Temp 98.6 F'", "'Wt ' || (40 + c_custkey % 50) || ' kg'", "'Inj Insulin 10 units, BP 140/90'", "'Resp rate 18, Height 1.6'"),
+    ("'Dx: T2DM, HTN and old MI'", "'Impression: No fever'", "'Diagnosis: asthma; nil; rhinitis since 2019'", "'Final diagnosis - gout'", "'no remarks'"),
+    ("'Allergies: None known'", "'Allergic to penicillin, sulfa'", "'NKDA'", "'allergy: dust mites'"),
+    ("'C/o fever, cough x 3 days'", "'Chief complaints: chest pain and sweating'", "'complains of headache for 2 weeks'", "'well'"),
+    ("'HbAlc 7.1 % 4.0 - 6.0'", "'TSH ' || (c_custkey % 90) || '.1 uiu/ml 0.4 - 4.0'", "'Hb 12.5 g/dl 13 - 17'", "'ESR 250 mm/hr < 20'", "'Serum T5H 4.1 miu/l (0.4 - 4.0)'", "'Folate 3 µg/dl'", "'SGPT (ALT) 64 U/L 5 - 40'", "'Platelets 250 x10^9/l'"),
+    ("'Complete Blood Count'", "'Lipid Profile'", "'Review with lipid profile'", "'Thyroid studies'"),
+    ("'TAB. OMEZ 4O MG 1-O-1 x 5 days'", "'TAB. DOLO 650 D'", "'Tab. Montek LC HS, Tab. Glimepiride 1 mg OD'", "'Cap Becosules 1mg, 2mg, 5mg'", "'Syp Calpol 250 mg/5 ml BD for 3 days'", "'Tab Ecosprin 75 mg once daily'", "'1) Augmentin 625 TDS'", "'NEW MINIPRESS Capsules 2mg, each tablet contains prazosin'"),
+    ("'Here is the text of the page:'", "'Sure, see below'", "'漢字 ok'", "'repeat this line'", "''"),
+    ("'repeat this line'", "'Repeat  this line'", "'end of note'"),
+    ("'repeat this line'", "'output: done'", "'Rx'"),
 )
+_NOTE = " || chr(10) || ".join(f"CASE (c_custkey * {k * k + 1} + {k}) % {len(v)} {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(v))} END" for k, v in enumerate(NOTE_LINES))
+#: One in 41 has no text at all, one in 43 hardly any.
+NOTE = f"CASE WHEN c_custkey % 41 = 0 THEN NULL WHEN c_custkey % 43 = 0 THEN 'ok ' || c_custkey % 7 ELSE {_NOTE} END"
 
 
-def rare(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([*RARE], "doc_id long, raw_text string")
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, raw_text) of each customer: a clinic note."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(NOTE).alias("raw_text"))
+
+
+#: The four corpora with doc_ids that don't clash: four times the id, and the number of the corpus.
+CORPORA = ("invoices", "prescriptions", "lab_reports", "notes")
+
+
+def every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, raw_text) of all corpora."""
+    parts = [f(spark, sf_dir).select((F.col("doc_id") * 4 + k).alias("doc_id"), "raw_text") for k, f in enumerate((invoices, prescriptions, lab_reports, notes))]
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 # The same documents in SQL, as common table expressions for the oracle.
@@ -101,11 +125,13 @@ CTE = {
   FROM orders JOIN (SELECT l_orderkey, string_agg(line, chr(10) ORDER BY {_SQL_ORDER}) AS body FROM items GROUP BY 1) ON o_orderkey = l_orderkey)""",
     "lab_reports": f"""lab_reports AS (SELECT user_id AS doc_id, 'City Laboratory' || chr(10) || 'Patient: U' || {_LETTERS.format('user_id')} || chr(10) || 'Lipid Profile' || chr(10) || 'Test Result Reference Range' || chr(10)
   || string_agg(line, chr(10) ORDER BY event_id) AS raw_text FROM (SELECT *, CASE event_type {_ANALYTE_SQL} END AS line FROM events) WHERE line IS NOT NULL GROUP BY user_id)""",
-    "rare": "rare AS (SELECT doc_id::bigint AS doc_id, raw_text FROM (VALUES " + ", ".join(f"({i}, '{t}')".replace("\n", "' || chr(10) || '") for i, t in RARE) + ") AS t(doc_id, raw_text))",
+    "notes": f"notes AS (SELECT c_custkey AS doc_id, {NOTE} AS raw_text FROM customer)",
+    "every": "every AS (" + " UNION ALL ".join(f"SELECT doc_id * 4 + {k} AS doc_id, raw_text FROM {c}" for k, c in enumerate(CORPORA)) + ")",
 }
 
 
 def ctes(*names: str) -> str:
     """WITH clause of the corpora named, with what they stand on."""
+    names = (*names, *(CORPORA if "every" in names else ()))
     wanted = [n for n in CTE if n in names or n == "items" and "prescriptions" in names]
     return "WITH " + ",\n".join(CTE[n] for n in wanted)
