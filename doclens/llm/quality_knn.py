@@ -1,9 +1,9 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms (words and character trigrams, hashed, and a few terms of its shape) are weighted by log counts and by
-inverse document frequencies over all documents, and projected to RANK dimensions by a singular value decomposition of
-labelled rows. The labelled vectors are bounded by a parameter and broadcast; every document's cosines to all of them are
-exact, computed in blocks, and its nearest ones vote by similarity.
+A text's terms (words and character trigrams, hashed, and a few terms of its shape, weighed like all others) are weighted by
+log counts and by inverse document frequencies over all documents, and projected to RANK dimensions by a singular value
+decomposition of labelled rows. The labelled vectors are bounded by a parameter and broadcast; every document's cosines to
+all of them are exact, computed in blocks, and its nearest ones vote by similarity. A labelled row has no vote for itself.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +29,12 @@ NEIGHBOURS = 25
 #: Rows whose term counts stand in memory at a time.
 ROWS = 512
 #: Neighbours weigh by this power of the cosine.
-POWER = 8
+POWER = 32
 THRESHOLD = 0.3
 #: Hash buckets of terms, then the terms of shape.
 SHAPE = 12
-SHAPE_WEIGHT = 6.0
+#: Digits that cosines are rounded to, so that they don't depend on how many rows a block has.
+DIGITS = 9
 DIM = (1 << BITS) + SHAPE
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _MARK = np.isin(np.arange(256), list(b"!?#*$%&|<>=@_~^+\\{}[]"))
@@ -45,6 +47,8 @@ class Space(NamedTuple):
     project: np.ndarray
     #: Labelled unit vectors, their labels, and the weight of a vote by its label.
     vectors: np.ndarray
+    #: Their doc_ids, ascending.
+    ids: np.ndarray
     labels: np.ndarray
     weigh: np.ndarray
     prior: float
@@ -94,10 +98,7 @@ def _document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = counts * idf
-    hashed = np.linalg.norm(x[:, : DIM - SHAPE], axis=1, keepdims=True)
-    x[:, : DIM - SHAPE] *= 10.0 / np.maximum(hashed, 1e-6)
-    return x
+    return _units((counts * idf).astype(np.float64))
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -125,28 +126,44 @@ def fit_space(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, seed:
         return None
     n, df = _document_frequencies(docs)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + 0.1
-    idf[DIM - SHAPE :] = SHAPE_WEIGHT / 4
     x = _weighted(np.stack([np.frombuffer(r, np.float16) for r in got["x"].to_pylist()]).astype(np.float32), idf)
-    draw = np.random.default_rng(seed).standard_normal((DIM, RANK + 16)).astype(np.float32)
+    draw = np.random.default_rng(seed).standard_normal((DIM, RANK + 16))
     q = x @ draw
     for _ in range(3):  # subspace iteration
         q, _ = np.linalg.qr(x @ (x.T @ q))
     _, _, v = np.linalg.svd(q.T @ x, full_matrices=False)
-    project = np.ascontiguousarray(v[:RANK].T).astype(np.float32)
+    project = np.ascontiguousarray(v[:RANK].T)
     ones = y.mean()
     prior = sizes[1] / (sizes[0] + sizes[1])
-    return Space(idf, project, _units(x @ project), y.astype(np.float32), np.array([(1 - prior) / (1 - ones), prior / ones], np.float32), prior)
+    return Space(idf, project, _units(x @ project), got["doc_id"].to_numpy(), y.astype(np.float32), np.array([(1 - prior) / (1 - ones), prior / ones], np.float32), prior)
 
 
-def votes(space: Space, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """The places of each row's k greatest cosines; of equal ones at the edge the first."""
+    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(cos, near, axis=1).min(axis=1, keepdims=True)
+    for row in np.flatnonzero((cos >= edge).sum(axis=1) > k):
+        near[row] = np.argsort(-cos[row], kind="stable")[:k]
+    return near
+
+
+def votes(space: Space, data: np.ndarray, offsets: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """The share of label 1 in the votes on each text; ids are the rows' own."""
     v = _units(_weighted(term_counts(data, offsets), space.idf) @ space.project)
+    mine = np.asarray(pc.fill_null(ids, -1), np.int64)
+    place = np.searchsorted(space.ids, mine)
+    place[place == len(space.ids)] = 0
+    own = (space.ids[place] == mine) & ~np.asarray(pc.is_null(ids))
     out, k = np.empty(len(v)), min(NEIGHBOURS, len(space.labels))
     for at in range(0, len(v), 256):
-        cos = v[at : at + 256] @ space.vectors.T
-        near = np.argpartition(cos, -k, axis=1)[:, -k:]
-        w = np.clip(np.take_along_axis(cos, near, axis=1), 1e-3, 1) ** POWER
+        cos = np.round(v[at : at + 256] @ space.vectors.T, DIGITS)
+        known = np.flatnonzero(own[at : at + 256])
+        cos[known, place[at : at + 256][known]] = -2
+        near = nearest(cos, k)
+        found = np.take_along_axis(cos, near, axis=1)
+        w = np.where(found == -2, 0, np.clip(found, 1e-3, 1) ** POWER)
         label = space.labels[near]
-        w *= space.weigh[label.astype(np.int64)]
+        w = w * space.weigh[label.astype(np.int64)]
         out[at : at + 256] = ((w * label).sum(axis=1) + 1e-12 * space.prior) / (w.sum(axis=1) + 1e-12)
     return out
 
@@ -154,8 +171,8 @@ def votes(space: Space, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, space: Space | None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of every row of docs, from its whole text; score is an estimate of P(quality = 1).
 
-    A null text counts as empty; an empty one has only its terms of shape. Ties among neighbours at the edge of the k
-    nearest may fall either way but the same in every run. Repeated rows come out repeated, other columns aren't read.
+    A null text counts as empty; an empty one has only its terms of shape. Of equally near neighbours at the edge of the k
+    nearest those with the least doc_ids vote. Repeated rows come out repeated, other columns aren't read.
     Without a space (no labels of one class) every score is 0.5.
     """
     held = docs.sparkSession.sparkContext.broadcast(space)
@@ -163,7 +180,7 @@ def score(docs: DataFrame, space: Space | None, threshold: float = THRESHOLD) ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = held.value
         for b in T.slices(batches, rows=ROWS):
-            p = np.clip(votes(s, *T.text_buffers(b.column("text"))), 0, 1) if s else np.full(b.num_rows, 0.5)
+            p = np.clip(votes(s, *T.text_buffers(b.column("text")), b.column("doc_id")), 0, 1) if s else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, score double, predicted int")
@@ -176,7 +193,7 @@ def keep(docs: DataFrame, space: Space | None, threshold: float = THRESHOLD) ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = held.value
         for b in T.slices(batches, rows=ROWS):
-            yield b.filter(pa.array(votes(s, *T.text_buffers(b.column("text"))) >= threshold)) if s else b
+            yield b.filter(pa.array(votes(s, *T.text_buffers(b.column("text")), b.column("doc_id").cast(pa.int64())) >= threshold)) if s else b
 
     return docs.select(names).mapInArrow(work, docs.schema)
 
