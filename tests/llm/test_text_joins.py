@@ -112,7 +112,7 @@ def test_slots(spark):
 
 
 def test_licences(spark, docs_of):
-    t = spark.sql(f"SELECT * FROM ({licenses.TEMPLATES}) AS t(license, statement)")
+    t = spark.createDataFrame([*licenses.STATEMENTS], "license string, statement string")
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     files = spark.createDataFrame([
         (1, "a/LICENSE", "x\n" + mit), (2, "a/src/x.txt", "code"), (3, "a/src/deep/y.txt", "code\n# " + apache), (4, "a/b/copying.md", apache), (5, "a/b/c/z", None), (6, "q/z", ""), (7, None, mit), (8, None, None),
@@ -125,3 +125,29 @@ def test_licences(spark, docs_of):
     }
     assert licenses.scan(files.limit(0), t).count() == 0
     assert {r.basis for r in licenses.scan(files, t.limit(0)).collect()} == {"none"}
+
+
+def test_every_template_finds_its_licence_in_a_file_a_header_and_wrapped(spark):
+    """Each template as a licence file in wrapped lines, as a wrapped comment header over code, and, if short, as a line."""
+    import textwrap
+
+    t = spark.createDataFrame([*licenses.STATEMENTS], "license string, statement string")
+    rows, want = [], {}
+    for i, (name, text) in enumerate(licenses.STATEMENTS):
+        for k, (path, body) in enumerate((
+            (f"p{i}/LICENSE", "\n".join(textwrap.wrap(text, 70))), (f"q{i}/a.py", "\n\n" + "\n".join("# " + x for x in textwrap.wrap(text, 40)) + "\n\ncode and more code"),
+            (f"r{i}/a.c", "/*\n" + "\n".join(" * " + x for x in textwrap.wrap(text, 50)) + "\n */\nint main() {}"), (f"s{i}/b.txt", "first\n" + text + "\nlast"),
+        )):
+            rows.append((4 * i + k, path, body))
+            want[4 * i + k] = name
+    got = {r.doc_id: (r.license, r.basis) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), t).collect()}
+    same_text = {"BSD-2-Clause", "BSD-3-Clause"}  # the one is the other's beginning
+    assert not [(i, n, got[i]) for i, n in want.items() if got[i][1] != "own" or (got[i][0] != n and not {got[i][0], n} <= same_text)]
+
+
+def test_licence_edges(spark):
+    """Long texts, equal scores, several ancestors, clashing columns, null paths."""
+    t = spark.createDataFrame([("B", "licensed under the zork license"), ("A", "licensed under the zork license")], "license string, statement string")
+    rows = [(1, "a/LICENSE", "licensed under the zork license", "x", "y"), (2, "a/b/c/d/e.txt", "words " * 200_000, "x", "y"), (3, None, "Licensed under the ZORK license", "x", "y"), (4, "z/e.txt", None, "x", "y"), (5, "a/b/COPYING", "nothing here", "x", "y")]
+    got = {r.doc_id: (r.license, r.basis, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string, term string, license string"), t).collect()}
+    assert got == {1: ("A", "own", 1.0), 2: ("A", "inherited", 1.0), 3: ("A", "own", 1.0), 4: (None, "none", None), 5: ("A", "inherited", 1.0)}
