@@ -27,8 +27,8 @@ BITS = 12
 RANK = 64
 NEIGHBOURS = 25
 #: Rows whose term counts stand in memory at a time.
-ROWS = 512
-#: Neighbours weigh by this power of the cosine.
+ROWS = 256
+#: Neighbours weigh by this power of their cosine's share of the nearest one's.
 POWER = 32
 THRESHOLD = 0.3
 #: Hash buckets of terms, then the terms of shape.
@@ -126,16 +126,18 @@ def fit_space(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, seed:
         return None
     n, df = _document_frequencies(docs)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + 0.1
-    x = _weighted(np.stack([np.frombuffer(r, np.float16) for r in got["x"].to_pylist()]).astype(np.float32), idf)
-    draw = np.random.default_rng(seed).standard_normal((DIM, RANK + 16))
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32)  # one copy, changed in place
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    draw = np.random.default_rng(seed).standard_normal((DIM, RANK + 16)).astype(np.float32)
     q = x @ draw
     for _ in range(3):  # subspace iteration
         q, _ = np.linalg.qr(x @ (x.T @ q))
     _, _, v = np.linalg.svd(q.T @ x, full_matrices=False)
-    project = np.ascontiguousarray(v[:RANK].T)
+    project = np.ascontiguousarray(v[:RANK].T).astype(np.float64)
     ones = y.mean()
     prior = sizes[1] / (sizes[0] + sizes[1])
-    return Space(idf, project, _units(x @ project), got["doc_id"].to_numpy(), y.astype(np.float32), np.array([(1 - prior) / (1 - ones), prior / ones], np.float32), prior)
+    return Space(idf, project, _units(np.concatenate([x[at : at + ROWS] @ project for at in range(0, len(x), ROWS)])), got["doc_id"].to_numpy(), y.astype(np.float32), np.array([(1 - prior) / (1 - ones), prior / ones], np.float32), prior)
 
 
 def nearest(cos: np.ndarray, k: int) -> np.ndarray:
@@ -161,7 +163,8 @@ def votes(space: Space, data: np.ndarray, offsets: np.ndarray, ids: pa.Array) ->
         cos[known, place[at : at + 256][known]] = -2
         near = nearest(cos, k)
         found = np.take_along_axis(cos, near, axis=1)
-        w = np.where(found == -2, 0, np.clip(found, 1e-3, 1) ** POWER)
+        near_by = np.clip(found, 1e-3, 1)
+        w = np.where(found == -2, 0, (near_by / near_by.max(axis=1, keepdims=True)) ** POWER)
         label = space.labels[near]
         w = w * space.weigh[label.astype(np.int64)]
         out[at : at + 256] = ((w * label).sum(axis=1) + 1e-12 * space.prior) / (w.sum(axis=1) + 1e-12)

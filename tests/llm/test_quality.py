@@ -83,7 +83,7 @@ def test_exact_votes_by_blocks(sf):
         v = quality_knn._units(quality_knn._weighted(quality_knn.term_counts(*one), space.idf) @ space.project)
         cos = np.round(space.vectors @ v[0], quality_knn.DIGITS)
         near = [n for n in sorted(range(len(cos)), key=lambda n: (-cos[n], n)) if space.ids[n] != i][: quality_knn.NEIGHBOURS]
-        w = np.clip(cos[near], 1e-3, 1) ** quality_knn.POWER * space.weigh[space.labels[near].astype(int)]
+        w = (np.clip(cos[near], 1e-3, 1) / cos[near].max()) ** quality_knn.POWER * space.weigh[space.labels[near].astype(int)]
         assert got[k] == pytest.approx((w * space.labels[near]).sum() / w.sum(), abs=1e-9)
 
 
