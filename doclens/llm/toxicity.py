@@ -29,7 +29,7 @@ GRAMS = L.Grams(chars=(6,), words=(1,), norm=0.5)
 HOW = {"l1": 0.05, "rate": 2.0, "epochs": 6}
 FOLDS = 4
 #: A document is toxic from this probability on.
-THRESHOLD = 0.4
+THRESHOLD = 0.3
 
 
 class Chain(NamedTuple):
