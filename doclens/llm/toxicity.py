@@ -56,7 +56,7 @@ def _fits(spark: SparkSession, x: list, y: np.ndarray, fold: np.ndarray, dense:
     folds = [-1, *np.unique(fold).tolist()]
     jobs = spark.createDataFrame([(int(k),) for k in folds], "id long").repartitionByRange(len(folds), "id")
     got = {r["id"]: r for r in jobs.mapInArrow(work, "id long, w binary, wd binary, odds binary").toArrow().to_pylist()}
-    held.unpersist()
+    held.destroy()
     score = np.zeros(len(y))
     for k in folds[1:]:
         score[fold == k] = np.frombuffer(got[k]["odds"])
