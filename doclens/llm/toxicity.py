@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,17 +40,19 @@ class Chain(NamedTuple):
     platt: tuple[float, float]
 
 
-def _fits(spark: SparkSession, x: list, y: np.ndarray, fold: np.ndarray, dense: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """(a model of all rows, out-of-fold log-odds): each fold's model, and that of all, is fitted in a task of its own."""
-    held = spark.sparkContext.broadcast((x, y, fold, dense))
+def _fits(spark: SparkSession, rows: Broadcast, y: np.ndarray, fold: np.ndarray, dense: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(a model of all rows, out-of-fold log-odds): each fold's model, and that of all, is fitted in a task of its own.
+
+    `rows` are the sample's n-grams, sent once for all categories; labels and earlier probabilities go with each fit."""
+    held = spark.sparkContext.broadcast((y, fold, dense))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in b.column("id").to_pylist():
-                rows, label, of, more = held.value
+                x, (label, of, more) = rows.value, held.value
                 inside, outside = np.flatnonzero(of == k), np.flatnonzero(of != k)
-                w, wd = L.fit([rows[i] for i in outside], label[outside], 1 << GRAMS.bits, more[outside], **HOW)
-                odds = L.predict([rows[i] for i in inside], (w, wd), more[inside])
+                w, wd = L.fit([x[i] for i in outside], label[outside], 1 << GRAMS.bits, more[outside], **HOW)
+                odds = L.predict([x[i] for i in inside], (w, wd), more[inside])
                 kinds = [w if k < 0 else w[:0], wd, odds]
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([np.asarray(v).tobytes()], pa.binary()) for v in kinds)], ["id", "w", "wd", "odds"])
 
@@ -82,11 +85,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Ch
     x = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(got["ids"].to_pylist(), got["vals"].to_pylist())]
     fold = L.folds(got["doc_id"].to_numpy(), FOLDS)
     models, dense = [], np.zeros((len(x), 0))
+    rows = docs.sparkSession.sparkContext.broadcast(x)
     for name in names:
         y = got["label" if name == "toxic" else name].to_numpy().astype(float)
-        model, score = _fits(docs.sparkSession, x, y, fold, dense)
+        model, score = _fits(docs.sparkSession, rows, y, fold, dense)
         models.append(model)
         dense = np.column_stack([dense, L.sigmoid(score)])
+    rows.destroy()
     return Chain(names, models, L.platt(score, y))
 
 
