@@ -10,9 +10,9 @@ place, hence the same however rows are batched. Lattices, walks and open sets ar
 all texts of a slice at once in numpy.
 
 The model's scores are ranks of merges, not log-probabilities; a piece of rank r weighs 1 / (r + OFFSET), raised to alpha.
-The text is the library's: one space before it, spaces as U+2581, bytes for characters without a piece. The pieces for
-runs of several spaces, which the library never merges to, are not used. No piece spans most pairs of neighbouring
-characters (a word and a following space or comma), so a text falls into short units; equal units of a slice share a lattice.
+The text is the library's: one space before it, spaces as U+2581, bytes for characters without a piece. No piece
+spans most pairs of neighbouring characters (a word and a following space or comma), so a text falls into short units;
+equal units of a slice share a lattice. A run of spaces and the word after it are one unit, as pieces of several spaces are.
 """
 
 from __future__ import annotations
@@ -60,9 +60,8 @@ class Pieces:
                 raw.append(b"")
             else:
                 raw.append(piece.replace(SPACE, " ").encode())
-                if SPACE not in piece[1:]:
-                    self.id[piece] = i
-                    self.weight[i] = -alpha * np.log(-sp.get_score(i) + OFFSET)
+                self.id[piece] = i
+                self.weight[i] = -alpha * np.log(-sp.get_score(i) + OFFSET)
         self.byte_weight = -alpha * np.log(self.size + OFFSET)
         self._grow_trie()
         self.raw = np.frombuffer(b"".join(raw), np.uint8)

@@ -34,6 +34,47 @@ def enumerate_all(s, text):
     return {tuple(c for codes, _ in way for c in codes): sum(p for _, p in way) for way in product(*map(of, units))}
 
 
+def by_pieces_alone(path, text):
+    """Every segmentation of a text with its log-probability, from the library's list of pieces and nothing else."""
+    library = sentencepiece.SentencePieceProcessor(model_file=path(MODEL))
+    size = library.vocab_size()
+    usual = {library.id_to_piece(i): i for i in range(size) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i))}
+    byte = {int(library.id_to_piece(i)[3:5], 16): i for i in range(size) if library.is_byte(i)}
+    whole, found = "▁" + text.replace(" ", "▁"), {}
+
+    def go(at, codes, weight):
+        if at == len(whole):
+            found[codes] = weight
+            return
+        for end in range(at + 1, len(whole) + 1):
+            if (i := usual.get(whole[at:end])) is not None:
+                go(end, (*codes, i), weight - np.log(S.OFFSET - library.get_score(i)))
+        if whole[at] not in usual:
+            raw = whole[at].encode()
+            go(at + 1, (*codes, *(byte[b] for b in raw)), weight - len(raw) * np.log(size + S.OFFSET))
+
+    go(0, (), 0.0)
+    total = np.logaddexp.reduce([*found.values()])
+    return {codes: weight - total for codes, weight in found.items()}
+
+
+@pytest.mark.parametrize("text", ["the cat", "a   b", " x", "    ", "a\n  b", "é漢🎉 ", "ab, ab."])
+def test_segmentations_are_those_of_the_pieces_alone(s, path, text):
+    """Also where several spaces stand in a row, which are pieces of their own; the library's segmentation is among them."""
+    ways = by_pieces_alone(path, text)
+    out = s.sample([text], np.array([5], np.uint64), len(ways) + 1)
+    got = {tuple(r["ids"].tolist()): r["log_prob"][0] for r in out if len(r["row"])}
+    assert got.keys() == ways.keys()
+    assert all(got[k] == pytest.approx(ways[k], abs=1e-9) for k in ways)
+    assert tuple(sentencepiece.SentencePieceProcessor(model_file=path(MODEL)).encode(text)) in ways
+
+
+def test_long_runs_of_spaces(s):
+    texts = [" " * 20_000 + "x", "a" + " " * 300 + "b"]
+    out = s.sample(texts, np.array([5, 6], np.uint64), 2)
+    assert all(sorted(r["row"].tolist()) == [0, 1] for r in out)
+
+
 def draws(s, text, n, k):
     out = s.sample([text] * n, T.mix(np.arange(n).astype(np.uint64) + np.uint64(99)), k)
     return [[(tuple(r["ids"][r["first"][i] : r["first"][i + 1]].tolist()), r["log_prob"][i], r["value"][i], r["inclusion"][i]) for r in out] for i in range(n)]
