@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm import decontam, licenses, pii, quality_knn, quality_rules, simhash, sp_sampling, token_pack, toxicity, url_filter
+from doclens.llm import decontam, filter_audit, licenses, pii, quality_knn, quality_rules, simhash, sp_sampling, token_pack, toxicity, url_filter
 from doclens.llm.common import new_path, table
 from doclens.plans.session import ready
 
@@ -67,9 +67,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(ready(spark), sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(*(table(spark, sf_dir, t) for t in ("documents", "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_decontamination, op4_quality_rules, op5_sentencepiece_sampling, op6_license_scans, op7_pii, op8_token_pack, op9_quality_knn, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_decontamination, op4_quality_rules, op5_sentencepiece_sampling, op6_license_scans, op7_pii, op8_token_pack, op9_quality_knn, op10_simhash_near_dedup, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filter.ORACLE, "op3_decontamination": decontam.ORACLE, "op6_license_scans": licenses.ORACLE}
+    return {"op1_url_filters": url_filter.ORACLE, "op3_decontamination": decontam.ORACLE, "op6_license_scans": licenses.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
