@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm import decontam, filter_audit, licenses, pii, quality_knn, quality_rules, simhash, sp_sampling, token_pack, toxicity, url_filter, whitening
+from doclens.llm import decontam, filter_audit, licenses, lm_mixing, pii, quality_knn, quality_rules, simhash, sp_sampling, token_pack, toxicity, url_filter, whitening
 from doclens.llm.common import new_path, table
 from doclens.plans.session import ready
 
@@ -67,6 +67,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(ready(spark), sf_dir, "documents"))
 
 
+def op11_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_mixing.score(table(ready(spark), sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.apply(table(ready(spark), sf_dir, "embeddings"))
 
@@ -76,7 +80,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_decontamination, op4_quality_rules, op5_sentencepiece_sampling, op6_license_scans, op7_pii, op8_token_pack, op9_quality_knn, op10_simhash_near_dedup, op12_embedding_whitening, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_decontamination, op4_quality_rules, op5_sentencepiece_sampling, op6_license_scans, op7_pii, op8_token_pack, op9_quality_knn, op10_simhash_near_dedup, op11_lm_mixing, op12_embedding_whitening, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
