@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from oracle import same
 from pyspark.sql import functions as F
 
 from doclens.llm import decontam, licenses, url_filter
@@ -105,10 +106,36 @@ def test_no_slot_compared_is_not_exact(spark, docs_of):
 
 
 def test_slots(spark):
-    df = spark.createDataFrame([(ITEM,)], "t string").select(decontam.template(F.col("t")).alias("k"), decontam.slots(F.col("t"), decontam.template(F.col("t"))).alias("s"))
-    k, s = df.first()
-    assert [s[i] for i in sorted(s)] == ["Tom", "12", "Bob Smith", "3", "kg", "12", "Tom"]
-    assert sorted(s) == [i for i, x in enumerate(k) if x in "\x01\x02\x03"]
+    df = decontam.templates(spark.createDataFrame([(ITEM,)], "t string"), "t").selectExpr("t", "inline(views)")
+    for r, values in zip(df.select("view", "tokens", decontam.slots(F.col("t"), F.col("view"), F.col("tokens")).alias("s")).orderBy("view").collect(), (["Tom", "12", "Bob Smith", "3", "kg", "12", "Tom"], ["12", "3", "kg", "12"])):
+        assert [r.s[i] for i in sorted(r.s)] == values
+        assert sorted(r.s) == [i for i, x in enumerate(r.tokens) if x in "\x01\x02\x03"]
+
+
+def test_items_in_another_case(spark, docs_of):
+    item = "Yesterday in the market Alice Smith bought 3 apples and Bob Jones paid 4 dollars for them all"
+    items = spark.createDataFrame([(1, item), (2, "TWO HUNDRED PEOPLE saw Carol leave")], "item_id long, text string")
+    again = item.replace("3", "5").replace("4", "9")
+    docs = docs_of((1, item.lower()), (2, item.upper()), (3, "so. " + item.title() + "."), (4, again.lower()), (5, item), (6, "two hundred people saw carol leave"), (7, item.lower().replace("3", "5", 1).replace("apples", "apples 3 apples")))
+    got = {(r.doc_id, r.item_id): (r.n_windows == r.item_windows, r.exact) for r in decontam.find(docs, items).collect()}
+    assert {k: got.pop((k, 1)) for k in (1, 2, 3, 4, 5)} == {1: (True, True), 2: (True, True), 3: (True, True), 4: (True, False), 5: (True, True)}
+    assert got.pop((6, 2)) == (True, True)
+    assert same(decontam.find(docs, items), decontam.ORACLE, tables={"documents": docs, "benchmark": items})
+
+
+def test_other_rows_of_a_doc_id_stay(spark, docs_of):
+    items = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    docs = docs_of((1, "so. " + ITEM), (1, "quite another row"), (1, None), (1, "quite another row"), (2, ITEM.lower()), (None, ITEM))
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontam.clean(docs, items).collect()) == [(0, ITEM), (1, ""), (1, "quite another row"), (1, "quite another row")]
+
+
+def test_windows_of_all_widths(spark):
+    rows = spark.createDataFrame([([1, 2, 3, 1, 2, 3, 1, 2, 3, 4],), ([5],), ([],)], "h array<long>")
+    for w in range(1, 10):
+        got = [r.w for r in rows.select(decontam._windows(F.col("h"), w).alias("w")).collect()]
+        want = [[1, 2, 3, 1, 2, 3, 1, 2, 3, 4][i : i + w] for i in range(11 - w)]
+        assert [len(g) for g in got] == [len(want), int(w == 1), 0]
+        assert all((a == b) == (x == y) for a, x in zip(got[0], want) for b, y in zip(got[0], want))
 
 
 def test_licences(spark, docs_of):
