@@ -162,8 +162,8 @@ def test_every_template_finds_its_licence_in_a_file_a_header_and_wrapped(spark):
     rows, want = [], {}
     for i, (name, text) in enumerate(licenses.STATEMENTS):
         for k, (path, body) in enumerate((
-            (f"p{i}/LICENSE", "\n".join(textwrap.wrap(text, 70))), (f"q{i}/a.py", "\n\n" + "\n".join("# " + x for x in textwrap.wrap(text, 40)) + "\n\ncode and more code"),
-            (f"r{i}/a.c", "/*\n" + "\n".join(" * " + x for x in textwrap.wrap(text, 50)) + "\n */\nint main() {}"), (f"s{i}/b.txt", "first\n" + text + "\nlast"),
+            (f"p{i}/LICENSE", "\n".join(textwrap.wrap(text, 70, break_on_hyphens=False))), (f"q{i}/a.py", "\n\n" + "\n".join("# " + x for x in textwrap.wrap(text, 40, break_on_hyphens=False)) + "\n\ncode and more code"),
+            (f"r{i}/a.c", "/*\n" + "\n".join(" * " + x for x in textwrap.wrap(text, 50, break_on_hyphens=False)) + "\n */\nint main() {}"), (f"s{i}/b.txt", "first\n" + text + "\nlast"),
         )):
             rows.append((4 * i + k, path, body))
             want[4 * i + k] = name
@@ -178,3 +178,27 @@ def test_licence_edges(spark):
     rows = [(1, "a/LICENSE", "licensed under the zork license", "x", "y"), (2, "a/b/c/d/e.txt", "words " * 200_000, "x", "y"), (3, None, "Licensed under the ZORK license", "x", "y"), (4, "z/e.txt", None, "x", "y"), (5, "a/b/COPYING", "nothing here", "x", "y")]
     got = {r.doc_id: (r.license, r.basis, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string, term string, license string"), t).collect()}
     assert got == {1: ("A", "own", 1.0), 2: ("A", "inherited", 1.0), 3: ("A", "own", 1.0), 4: (None, "none", None), 5: ("A", "inherited", 1.0)}
+
+
+def test_no_word_list_decides_what_is_compared(spark):
+    """A template without a word that speaks of licences; by an array of terms and by a join alike."""
+    words = "altered source versions must be plainly marked as such"
+    t = spark.createDataFrame([("Zlib", words), *licenses.STATEMENTS], "license string, statement string")
+    rows = [(1, "a/x.c", "code\n" + words + "\n"), (2, "b/y.c", "such a long road as must be taken")] + [(k, f"c/{k}", f"some text of number {k} is here\nas must be") for k in range(3, 40)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: tuple(r[2:]) for r in licenses.scan(files, t).collect()}
+    assert got[1] == ("Zlib", "own", 1.0) and {got[k][1] for k in range(2, 40)} == {"none"}
+    assert got == {r.doc_id: tuple(r[2:]) for r in licenses.scan(files, t, array_most=0).collect()}
+
+
+def test_tags_and_hints_stop_another_licence(spark):
+    t = spark.createDataFrame([*licenses.STATEMENTS], "license string, statement string")
+    rows = [
+        (1, "p/LICENSE", "Released under the MIT License."), (2, "p/a.c", "// SPDX-License-Identifier: GPL-3.0-only\nint x;"), (3, "p/b.py", "# SPDX-License-Identifier: MIT\nx = 1"), (4, "p/c.py", "# spdx-license-identifier: EPL-2.0.\nx = 1"),
+        (5, "p/d.py", "x = 1"), (6, "q/e.py", "# SPDX-License-Identifier: GPL-2.0+"), (7, "q/README", "this is licensed under the MIT License - see the LICENSE file"), (8, "p/f.py", "SPDX-License-Identifier:"),
+        (9, "p/g.py", "parts of it are perhaps under the apache license, version 2.0, or whatever somebody else had written there at that time"),
+    ] + [(k, f"r/{k}", f"line {k} of what the others write\nunder the of version {k}") for k in range(10, 60)]
+    got = {r.doc_id: (r.license, r.basis) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), t).collect()}
+    assert {k: got[k] for k in range(1, 10)} == {
+        1: ("MIT", "own"), 2: ("GPL-3.0", "own"), 3: ("MIT", "own"), 4: (None, "unclear"), 5: ("MIT", "inherited"), 6: ("GPL-2.0", "own"), 7: ("MIT", "own"), 8: (None, "unclear"), 9: (None, "unclear"),
+    }
