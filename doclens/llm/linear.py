@@ -56,10 +56,11 @@ def weighted(g: Grams, grams: list[tuple[np.ndarray, np.ndarray]], weights: np.n
     """The weights' sums for each text."""
     total = 0.0
     for h, first in grams:
-        sums = np.zeros(len(h) + 1)
-        np.cumsum(weights[h], out=sums[1:], dtype=np.float64)
         n = np.diff(first)
-        total = total + (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1) ** g.norm
+        sums, full = np.zeros(len(n)), np.flatnonzero(n)
+        if len(full):  # each text by itself, whatever stands beside it
+            sums[full] = np.add.reduceat(weights[h].astype(np.float64), first[full])
+        total = total + sums / np.maximum(n, 1) ** g.norm
     return total
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclens.llm import features as T
-from doclens.llm.common import labelled_sample
+from doclens.llm.common import labelled_sample, written
 from doclens.llm.quality_rules import base_counts
 
 #: Labelled rows of each class with a vector, at most.
@@ -28,6 +28,8 @@ RANK = 64
 NEIGHBOURS = 25
 #: Rows whose term counts stand in memory at a time.
 ROWS = 256
+#: Tasks that hold the sample.
+FITTERS = 8
 #: Neighbours weigh by this power of their cosine's share of the nearest one's.
 POWER = 32
 THRESHOLD = 0.3
@@ -106,7 +108,11 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def fit_space(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, seed: int = 11) -> Space | None:
-    """A space from at most 2 * per_class of the labelled rows given; None without a row of each class."""
+    """A space from at most 2 * per_class of the labelled rows given; None without a row of each class.
+
+    The sample's vectors stay in tasks: the decomposition is a subspace iteration whose products are summed over tasks, and what
+    reaches the driver are matrices of RANK + 16 columns.
+    """
     one = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sizes = {r["quality"]: r["n"] for r in one.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
@@ -120,24 +126,65 @@ def fit_space(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, seed:
             x = term_counts(*T.text_buffers(b.column("text"))).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
-    got = texts.mapInArrow(work, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
-    y = got["label"].to_numpy()
-    if len(set(y)) < 2:
+    in_order = texts.repartition(FITTERS, "doc_id").sortWithinPartitions("doc_id")
+    rows = written(in_order.mapInArrow(work, "doc_id long, label int, x binary"), "sample")
+    y = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(y) < 2:
         return None
     n, df = _document_frequencies(docs)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + 0.1
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32)  # one copy, changed in place
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    draw = np.random.default_rng(seed).standard_normal((DIM, RANK + 16)).astype(np.float32)
-    q = x @ draw
-    for _ in range(3):  # subspace iteration
-        q, _ = np.linalg.qr(x @ (x.T @ q))
-    _, _, v = np.linalg.svd(q.T @ x, full_matrices=False)
-    project = np.ascontiguousarray(v[:RANK].T).astype(np.float64)
-    ones = y.mean()
+    q = np.random.default_rng(seed).standard_normal((DIM, RANK + 16))
+    for _ in range(4):  # subspace iteration
+        q, _ = np.linalg.qr(_gram_times(rows, idf, q))
+    seen = _projected(rows, idf, q)
+    _, _, v = np.linalg.svd(seen.x, full_matrices=False)
+    ones = y[1] / (y[0] + y[1])
     prior = sizes[1] / (sizes[0] + sizes[1])
-    return Space(idf, project, _units(np.concatenate([x[at : at + ROWS] @ project for at in range(0, len(x), ROWS)])), got["doc_id"].to_numpy(), y.astype(np.float32), np.array([(1 - prior) / (1 - ones), prior / ones], np.float32), prior)
+    return Space(idf, np.ascontiguousarray(q @ v[:RANK].T), _units(seen.x @ v[:RANK].T), seen.ids, seen.labels, np.array([(1 - prior) / (1 - ones), prior / ones], np.float32), prior)
+
+
+class Sample(NamedTuple):
+    ids: np.ndarray
+    labels: np.ndarray
+    x: np.ndarray
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Weighted unit vectors of the sample's rows, ROWS at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            b = batch.slice(at, ROWS)
+            yield b, _weighted(np.frombuffer(b"".join(b.column("x").to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32), idf)
+
+
+def _gram_times(rows: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """X'Xq for the sample's vectors X, summed over tasks."""
+    held = rows.sparkSession.sparkContext.broadcast((idf, q))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(q.shape)
+        for _, x in _blocks(batches, held.value[0]):
+            total += x.T @ (x @ held.value[1])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["x"])
+
+    out = np.zeros(q.shape)
+    for part in rows.mapInArrow(work, "x binary").toArrow()["x"]:  # FITTERS matrices at most
+        out += np.frombuffer(part.as_buffer()).reshape(q.shape)
+    held.destroy()
+    return out
+
+
+def _projected(rows: DataFrame, idf: np.ndarray, q: np.ndarray) -> Sample:
+    """The sample's rows in the space of q, by doc_id."""
+    held = rows.sparkSession.sparkContext.broadcast((idf, q))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, x in _blocks(batches, held.value[0]):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([r.tobytes() for r in x @ held.value[1]], pa.binary())], ["doc_id", "label", "x"])
+
+    got = rows.mapInArrow(work, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
+    held.destroy()
+    return Sample(got["doc_id"].to_numpy(), got["label"].to_numpy().astype(np.float32), np.frombuffer(b"".join(got["x"].to_pylist())).reshape(got.num_rows, -1))
 
 
 def nearest(cos: np.ndarray, k: int) -> np.ndarray:

@@ -43,24 +43,67 @@ def sums(mask: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def same_bytes(data: np.ndarray, spans: T.Spans, first: np.ndarray) -> bool:
+    """Whether each span has the bytes of the span that `first` names for it."""
+    size = spans.ends - spans.starts
+    if not np.array_equal(size, size[first]):
+        return False
+    other = np.flatnonzero(first != np.arange(len(first)))
+    ends = np.cumsum(size[other])
+    begin = 0
+    while begin < len(other):  # so many bytes at a time
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + T.CHUNK, "right")))
+        some = other[begin:end]
+        within = np.arange(size[some].sum()) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+        if not np.array_equal(data[np.repeat(spans.starts[some], size[some]) + within], data[np.repeat(spans.starts[first[some]], size[some]) + within]):
+            return False
+        begin = end
+    return True
+
+
+def identities(data: np.ndarray, spans: T.Spans, hashes: np.ndarray) -> np.ndarray:
+    """A number for each span, equal for those of equal bytes only: by their hashes if these are right, else by the bytes."""
+    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    if same_bytes(data, spans, first[back]):
+        return back
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(data[a:z].tobytes(), len(known)) for a, z in zip(spans.starts, spans.ends)], np.int64)
+
+
+def occurrences(row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and rows of ids(place, part), the first place with the same, and how many there are."""
+    h = T.mix(row.astype(np.uint64) + np.uint64(1))
+    for k in range(ids.shape[1]):
+        h = T.mix(h + ids[:, k].astype(np.uint64) + np.uint64(1))
+    _, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    first = first[back]
+    if not (np.array_equal(row, row[first]) and np.array_equal(ids, ids[first])):
+        _, first, back, count = np.unique(np.column_stack([row, ids]), axis=0, return_index=True, return_inverse=True, return_counts=True)
+        first = first[back.reshape(-1)]
+        back = back.reshape(-1)
+    return first, count[back]
+
+
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text; equal lines and windows are told by their
+    hashes, and these are compared by their bytes."""
     n_rows, inside = len(offsets) - 1, ~T.SPACE[data]
     words = T.runs(inside, offsets)
     prefix = T.prefix_sums(data.astype(np.uint64) + np.uint64(1))
     out = {"n_words": np.diff(words.first), "word_chars": sums(inside & _LEAD[data], offsets), "n_symbols": sums(_SYMBOL[data], offsets)}
     lines = T.runs(data != 10, offsets)
-    row, full = lines.row, np.add.reduceat(inside, lines.starts, dtype=np.int64) if len(lines.starts) else np.zeros(0, np.int64)
     # a run of non-breaks may be followed by breaks only, so what reduceat adds up to the next start is the line's own
-    h, row = T.span_hashes(prefix, lines.starts, lines.ends)[full > 0], row[full > 0]
-    _, once = np.unique(T.mix(h + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-    out["n_dup_lines"] = np.bincount(row, minlength=n_rows) - np.bincount(row[once], minlength=n_rows)
-    word = T.span_hashes(prefix, words.starts, words.ends)
-    row = words.row
-    h = T.gram_hashes(word, WINDOW)
-    at = np.flatnonzero(row[: len(h)] == row[WINDOW - 1 :][: len(h)]) if len(h) else np.zeros(0, np.int64)
-    _, back, count = np.unique(T.mix(h[at] + row[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
-    at = at[count[back] > 1]
+    full = np.add.reduceat(inside, lines.starts, dtype=np.int64) > 0 if len(lines.starts) else np.zeros(0, bool)
+    row, written = lines.row[full], T.Spans(lines.starts[full], lines.ends[full], lines.first)
+    line = identities(data, written, T.span_hashes(prefix, written.starts, written.ends))
+    first, _ = occurrences(row, line[:, None])
+    out["n_dup_lines"] = np.bincount(row[first != np.arange(len(first))], minlength=n_rows)
+    word, row = identities(data, words, T.span_hashes(prefix, words.starts, words.ends)), words.row
+    n = max(0, len(word) - WINDOW + 1)
+    at = np.flatnonzero(row[:n] == row[WINDOW - 1 :][:n])
+    _, count = occurrences(row[at], word[at[:, None] + np.arange(WINDOW)])
+    at = at[count > 1]
     step = np.bincount(at, minlength=len(word) + 1) - np.bincount(at + WINDOW, minlength=len(word) + 1)
     out["n_repeat_words"] = sums(np.cumsum(step)[:-1] > 0, words.first)
     return {k: v.astype(np.int64) for k, v in out.items()}

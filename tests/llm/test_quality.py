@@ -36,6 +36,45 @@ def test_base_counts(texts):
     assert [*got] == [brute_counts(t) for t in texts]
 
 
+def thue_morse(n, a, b):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join((a, b)[x] for x in bits[:n])
+
+
+def test_base_counts_of_texts_that_collide():
+    """Polynomial hashes modulo 2^64 are equal for a Thue-Morse string and its complement."""
+    one, two = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    spans = T.Spans(np.array([0, 1024]), np.array([1024, 2048]), np.array([0, 2]))
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    h = T.span_hashes(T.prefix_sums(data.astype(np.uint64) + np.uint64(1)), spans.starts, spans.ends)
+    assert h[0] == h[1] and len(set(quality_rules.identities(data, spans, h))) == 2
+    rest = " ".join(f"w{k}" for k in range(7))
+    texts = [f"{one}\n{two}\n{one}", f"{one} {rest}\n{two} {rest}", f"{one} {rest} {one} {rest}"]
+    base = quality_rules.base_counts(*T.text_buffers(pa.array(texts)))
+    assert list(zip(*(base[k].tolist() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))) == [brute_counts(t) for t in texts]
+    row, ids = np.array([0, 0, 1, 0]), np.array([[1, 2], [1, 2], [1, 2], [2, 1]])
+    assert [x.tolist() for x in quality_rules.occurrences(row, ids)] == [[0, 0, 2, 3], [2, 2, 1, 1]]
+
+
+def test_the_space_is_the_best_one_of_its_rank(sf):
+    """Against a full decomposition of the sample in one place: as near to the sample, with vectors made one text at a time."""
+    labels = sf["labels"].where("doc_id is not null")
+    space = quality_knn.fit_space(sf["documents"], labels, per_class=50)
+    texts = {r.doc_id: r.text for r in sf["documents"].collect()}
+    every = [quality_knn.term_counts(*T.text_buffers(pa.array([t])))[0].astype(np.float64) for t in texts.values()]
+    idf = np.log((len(every) + 1) / ((np.array(every) > 0).sum(axis=0) + 1)) + 0.1
+    assert np.allclose(space.idf, idf, atol=1e-5)
+    x = np.array([quality_knn.term_counts(*T.text_buffers(pa.array([texts[i]])))[0].astype(np.float16).astype(np.float64) * idf for i in space.ids.tolist()])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    left = lambda basis: np.linalg.norm(x - x @ basis @ basis.T) ** 2
+    best = np.linalg.svd(x, full_matrices=False)[2][: quality_knn.RANK].T
+    assert np.allclose(space.project.T @ space.project, np.eye(quality_knn.RANK), atol=1e-6)
+    assert left(space.project) < 1.02 * left(best) + 1e-6
+    assert np.allclose(space.vectors, quality_knn._units(x @ space.project), atol=1e-4)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab é.\n", max_size=40), min_size=1, max_size=5))
 def test_grams_do_not_depend_on_the_batch(texts):
@@ -43,7 +82,7 @@ def test_grams_do_not_depend_on_the_batch(texts):
     weights = np.random.default_rng(0).standard_normal(1 << 12).astype(np.float32)
     whole = L.weighted(g, L.positions(g, *T.text_buffers(pa.array(texts))), weights)
     alone = [L.weighted(g, L.positions(g, *T.text_buffers(pa.array([t]))), weights)[0] for t in texts]
-    assert np.allclose(whole, alone, atol=1e-4)
+    assert np.array_equal(whole, alone)
     rows = L.rows(g, L.positions(g, *T.text_buffers(pa.array(texts))))
     assert np.allclose(whole, [weights[i] @ v for i, v in rows], atol=1e-4)
 
