@@ -215,24 +215,32 @@ def _lab(line: Column, start: Column, by_span: bool = True) -> Column:
 # ---- medicines
 
 
-def segments(lines: DataFrame) -> DataFrame:
-    """lines with one row for each medicine's stretch of the line: `seg_no`, `seg` and where it begins, `seg_at`."""
-    cut = F.split(F.concat(F.substring("line", 1, 3), F.regexp_replace(F.expr("substring(line, 4)"), P.SEGMENT, "$1\x01$2")), "\x01")
-    rows = staged(lines, _cut=cut)
+def segments(lines: DataFrame, cut: Column | None = None, whole: Column | None = None) -> DataFrame:
+    """lines with one row for each medicine's stretch of the line: `seg_no`, `seg` and where it begins, `seg_at`; only of lines
+    that are to be `cut`. Lines that stay `whole` have a row for themselves too, with a seg_no of -1 and no stretch."""
+    stretches = F.split(F.concat(F.substring("line", 1, 3), F.regexp_replace(F.expr("substring(line, 4)"), P.SEGMENT, "$1\x01$2")), "\x01")
+    rows = staged(lines, _cut=stretches if cut is None else F.when(cut, stretches).otherwise(F.array().cast("array<string>")))
     at = lambda i: F.aggregate(F.slice("_cut", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-    return rows.select(*lines.columns, F.inline(F.transform("_cut", lambda x, i: F.struct(i.alias("seg_no"), x.alias("seg"), at(i).alias("seg_at")))))
+    each = F.transform("_cut", lambda x, i: F.struct(i.alias("seg_no"), x.alias("seg"), at(i).alias("seg_at")))
+    if whole is not None:
+        own = F.array(F.struct(F.lit(-1).alias("seg_no"), F.lit("").alias("seg"), F.lit(0).alias("seg_at")))
+        each = F.when(whole, F.concat(own, each)).otherwise(each)
+    return rows.select(*lines.columns, F.inline(each))
 
 
-def medicines(lines: DataFrame) -> DataFrame:
+def medicines(lines: DataFrame, cut: Column | None = None, whole: Column | None = None) -> DataFrame:
     """Rows of lines(…, line, spans, mention) for each medicine that a line prescribes or, where `mention`, only names: seg_no,
     seg_at, seg_end, name, name_at, by_model, score, and dosage, frequency and duration with where they begin (…_at), all
     counted from the line's start; `line` from the name on is checked for what looks misread.
 
     A medicine that a line prescribes needs a dosage form before it, a dosing code or a dose of one digit; one whose name a
     recogniser found needs any of these, a phrase or a duration. One that is only named must be a recogniser's or a product
-    with its form, beside a strength, a form, or with a sure score.
+    with its form, beside a strength, a form, or with a sure score. `cut` and `whole` as for segments: rows of whole lines are
+    left as they are.
     """
-    rows = segments(lines.where(~F.col("line").rlike(P.NOT_MEDICINE_LINE)))
+    of_medicine = ~F.col("line").rlike(P.NOT_MEDICINE_LINE)
+    rows = segments(lines.where(of_medicine)) if cut is None else segments(lines, cut & of_medicine, whole)
+    stays = F.col("seg_no") < 0
     rows = staged(rows, head=F.length(F.regexp_extract("seg", f"({P.NUMBERED})", 1)), drug=F.get(F.filter("spans", lambda s: (s["kind"] == "drug") & (s["start"] >= F.col("seg_at")) & (s["start"] < F.col("seg_at") + F.length("seg"))), F.lit(0)))
     rows = staged(rows, body=F.expr("substring(seg, head + 1)"))
     taken = F.expr("substring(line, drug.start + 1, drug.end - drug.start)")
@@ -246,12 +254,12 @@ def medicines(lines: DataFrame) -> DataFrame:
     end = F.when(by_model, F.col("drug.end")).when(F.col("mention"), begin + F.length("product")).otherwise(seg_end)
     known = by_model | ~F.col("mention") | ((F.col("product") != "") & ~F.lower("product").isin(*P.NOT_PRODUCT))
     rows = staged(rows, begin=begin, seg_end=seg_end, by_model=by_model, source=F.when(known, F.substring(F.col("line"), begin + 1, end - begin)))
-    rows = staged(rows.where("source is not null"), stretch=F.when(F.col("source").rlike(P.NAME_STOP), F.regexp_extract("source", P.NAME_STOP, 1)).otherwise(F.col("source")))
+    rows = staged(rows.where(stays | F.col("source").isNotNull()), stretch=F.when(F.col("source").rlike(P.NAME_STOP), F.regexp_extract("source", P.NAME_STOP, 1)).otherwise(F.col("source")))
     rows = staged(rows, name=tidy(F.col("stretch")), name_at=F.col("begin") + lead(F.col("stretch")))
     named = (F.length("name") >= 2) & F.col("name").rlike("[A-Za-z]{3,}") & ~F.col("name").rlike(P.WHOLE_DOSE) & ~F.col("name").rlike(f"^{P.STRENGTHS}")
     # a letter or space stands for the name's last character, so that boundaries hold
     rest = F.expr("substring(line, name_at + length(name) + 1, seg_end - name_at - length(name))")
-    rows = staged(rows.where(named), tail=F.concat(F.when(F.col("name").rlike(r"\w$"), "a").otherwise(" "), rest), base=F.col("name_at") + F.length("name") - 1)
+    rows = staged(rows.where(stays | named), tail=F.concat(F.when(F.col("name").rlike(r"\w$"), "a").otherwise(" "), rest), base=F.col("name_at") + F.length("name") - 1)
     tail = F.col("tail")
     found = {n: find(tail, m) for n, m in (("dose", P.DOSE), ("bare", P.BARE_NUMBER), ("code", P.FREQUENCY_CODE), ("phrase", P.FREQUENCY_PHRASE), ("span", P.DURATION))}
     rows = staged(rows, several=tail.rlike(P.STRENGTHS), **{n: v for n, (v, _) in found.items()}, **{f"{n}_at": F.col("base") + a for n, (_, a) in found.items()})
@@ -266,7 +274,7 @@ def medicines(lines: DataFrame) -> DataFrame:
     strong = (F.col("form") > 0) | F.col("code").isNotNull() | F.coalesce(F.col("dose").rlike(P.PLAIN_DOSE), F.lit(False))
     weak = F.col("by_model") & (F.col("phrase").isNotNull() | F.col("span").isNotNull())
     beside = F.col("dosage").isNotNull() | F.col("several") | (F.col("form") > 0) | (F.col("product") != "") | F.coalesce(F.col("score") >= SURE_SCORE, F.lit(False))
-    rows = staged(rows, kept=F.when(F.col("mention"), beside).otherwise(strong | weak)).where("kept")
+    rows = staged(rows, kept=F.when(F.col("mention"), beside).otherwise(strong | weak)).where(stays | F.col("kept"))
     return rows.select(*lines.columns, "seg_no", "seg_at", "seg_end", "name", "name_at", "by_model", "score", *(c for n in ("dosage", "frequency", "duration") for c in (n, f"{n}_at")))
 
 
@@ -347,6 +355,29 @@ def line_items(lines: DataFrame, by_span: bool = False) -> DataFrame:
     return out.unionByName(each.where(field.isNotNull()).select("doc_id", "line_no", "about_a_patient", item(field, span_part("text", s, line, start, why)).alias("item")))
 
 
+def items_in_one_pass(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, item) from lines(doc_id, line_no, start, line, about_a_patient, headers), as line_items gives it without a
+    recogniser, but for what isn't a patient's, with the items of `headers`, which have no line, once a document.
+
+    Each line is gone through once: a row of its own carries its direct items and, on a document's first line, the headers; a
+    line of medicines has a row for each of its stretches.
+    """
+    line, start, about = F.col("line"), F.col("start"), F.col("about_a_patient")
+    kind = F.col("route")
+    found = (
+        F.when(kind == "medicine", _none()).when(kind.isin("allergy", "diagnosis", "complaint"), _section(line, start, False)).when(kind == "vitals", _vitals(line, start))
+        .when(kind == "panel", _panel(line, start)).otherwise(_lab(line, start, False))
+    )
+    rows = staged(route(with_spans(lines, None), False), found=found, mention=mention_only(line, about))
+    of_patient = lambda x: about | ~x["field"].isin(*OF_A_PATIENT)
+    own = F.transform(F.filter("found", of_patient), lambda x: F.struct(F.col("line_no").alias("line_no"), x.alias("item")))
+    heads = F.transform(F.when(F.col("line_no") == 0, F.col("headers")).otherwise(F.slice("headers", 1, 0)), lambda x: F.struct(F.lit(None).cast("int").alias("line_no"), x.alias("item")))
+    rows = staged(rows, direct=F.concat(heads, own)).drop("headers", "found")
+    each = medicine_items(medicines(rows, kind == "medicine", F.size("direct") > 0))
+    drug = F.filter(F.array(F.struct(F.col("line_no").alias("line_no"), F.col("item").alias("item"))), lambda x: of_patient(x["item"]))
+    return each.select("doc_id", F.inline(F.when(F.col("seg_no") < 0, F.col("direct")).otherwise(drug)))
+
+
 def lab_results(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, name, value, unit, reference_range) of lines that are laboratory rows by their shape."""
     rows = lines.where(lab_row(F.col("line")))

@@ -17,17 +17,17 @@ def staged(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in cols.items())))))
 
 
-def split_lines(docs: DataFrame, text: str = "raw_text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, keep..., line_no, start, line): lines end at \\n only, a trailing empty line counts; start is a code-point
-    offset. A null text has no lines. Nothing is shuffled: lengths are summed by blocks of lines within the row."""
-    rows = docs.where(F.col(text).isNotNull()).select("doc_id", *keep, F.split(text, "\n").alias("_ls"))
+def split_lines(docs: DataFrame, text: str = "raw_text", keep: tuple[str, ...] = (), of_characters: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep..., line_no, start, line, of_characters...): lines end at \\n only, a trailing empty line counts; start is a
+    code-point offset; of arrays with an entry for each character, a line gets its part. A null text has no lines. Nothing is shuffled: lengths are summed by blocks of lines within the row."""
+    rows = docs.where(F.col(text).isNotNull()).select("doc_id", *keep, *of_characters, F.split(text, "\n").alias("_ls"))
     rows = staged(rows, _n=F.transform("_ls", lambda x: F.length(x) + 1))
     add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
     blocks = F.sequence(F.lit(0), F.floor((F.size("_n") - 1) / BLOCK).cast("int"))
     rows = staged(rows, _b=F.transform(blocks, lambda b: add(F.slice("_n", b * BLOCK + 1, BLOCK))))
     rows = staged(rows, _s=F.transform(blocks, lambda b: add(F.slice("_b", F.lit(1), b))))
     start = lambda i: F.get("_s", F.floor(i / BLOCK).cast("int")) + add(F.slice("_n", F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
-    each = F.transform("_ls", lambda x, i: F.struct(i.alias("line_no"), start(i).alias("start"), x.alias("line")))
+    each = F.transform("_ls", lambda x, i: F.struct(i.alias("line_no"), start(i).alias("start"), x.alias("line"), *(F.slice(c, start(i) + 1, F.length(x)).alias(c) for c in of_characters)))
     return rows.select("doc_id", *keep, F.inline(each))
 
 
@@ -67,12 +67,6 @@ def block_of(lines: Column, i: Column, radius: int = 2) -> Column:
     return F.array_join(F.slice(lines, first, i + radius + 2 - first), "\n")
 
 
-def neighbours(lines: DataFrame, radius: int = 2) -> DataFrame:
-    """lines with `block`: the lines around each, joined."""
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(-radius, radius)
-    return lines.withColumn("block", F.array_join(F.collect_list("line").over(w), "\n"))
-
-
 def withhold(lines: DataFrame, withheld: str = "withheld", counted: bool = False) -> DataFrame:
     """(doc_id, trusted): the text with withheld lines blanked, so that all offsets hold; `counted`: with n_withheld too."""
     kept = lines.withColumn("kept", F.when(F.col(withheld), F.repeat(F.lit(" "), F.length("line"))).otherwise(F.col("line")))
@@ -102,18 +96,19 @@ def strip_wrapping(answers: DataFrame, text: str = "text", confidence: str = "co
 
 
 def chunks(docs: DataFrame, most: int = 900) -> DataFrame:
-    """(doc_id, chunk, start, text): pieces of at most `most` characters, cut after the last line break that fits (else at
-    the limit), for recognisers with a bounded window. Lines are packed in order."""
+    """(doc_id, chunk, start, line_no, text): pieces of at most `most` characters, cut after the last line break that fits (else
+    at the limit), for recognisers with a bounded window; line_no is that of a piece's first line. A break that begins a window
+    is no place to cut. Lines are packed in order. Null and empty texts have no pieces."""
+    cut = lambda x: F.regexp_extract_all(x, F.lit(rf"(?s)(.{{1,{most}}})"), F.lit(1))
 
     def pack(acc: Column, line: Column) -> Column:
-        last, size = F.element_at(acc, -1), F.length(line)
-        fits = F.length(last) + size <= most
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, line)))).otherwise(F.concat(acc, F.array(line)))
+        last, before = F.element_at(acc, -1), F.slice(acc, 1, F.size(acc) - 1)
+        fits = F.length(last) + F.length(line) <= most
+        return F.when(fits, F.concat(before, F.array(F.concat(last, line)))).when(last == "\n", F.concat(before, cut(F.concat(last, line)))).otherwise(F.concat(acc, cut(line)))
 
-    long = rf"(?s)(.{{1,{most}}})"
     with_breaks = F.regexp_extract_all("raw_text", F.lit(r"([^\n]*\n|[^\n]+)"), F.lit(1))
-    pieces = F.flatten(F.transform(with_breaks, lambda x: F.regexp_extract_all(x, F.lit(long), F.lit(1))))
-    packed = F.filter(F.aggregate(pieces, F.array(F.lit("")), pack), lambda x: x != "")
+    packed = F.filter(F.aggregate(with_breaks, F.array(F.lit("")), pack), lambda x: x != "")
     parts = docs.select("doc_id", F.posexplode(packed).alias("chunk", "text"))
-    before = F.sum(F.length("text")).over(Window.partitionBy("doc_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    return parts.withColumn("start", F.coalesce(before, F.lit(0)))
+    before = Window.partitionBy("doc_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n")))
+    return parts.select("doc_id", "chunk", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).cast("int").alias("start"), F.coalesce(F.sum(breaks).over(before), F.lit(0)).cast("int").alias("line_no"), "text")

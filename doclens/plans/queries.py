@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.functions import patterns as P
-from doclens.operators import checks, classify, extract, lines, plugins, privacy, quality, record, score
+from doclens.operators import checks, classify, extract, lines, pages, plugins, privacy, quality, record, score
 from doclens.plans import sql
 from doclens.plans.registry import query
 from doclens.plans.session import ready
@@ -62,8 +62,8 @@ def withheld_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withhold(judged, counted=True).select("doc_id", F.md5("trusted").alias("trusted_md5"), "n_withheld")
 
 
-@query(f"""WITH RECURSIVE {_DOCS}, cut AS (SELECT doc_id, 0 AS chunk, 0 AS start, CASE WHEN length(raw_text) <= 900 THEN length(raw_text) ELSE coalesce(nullif(900 - instr(reverse(substring(raw_text, 1, 900)), chr(10)) + 1, 901), 900) END AS size FROM docs WHERE raw_text <> ''
-  UNION ALL SELECT c.doc_id, chunk + 1, c.start + c.size, CASE WHEN length(rest) <= 900 THEN length(rest) ELSE coalesce(nullif(900 - instr(reverse(substring(rest, 1, 900)), chr(10)) + 1, 901), 900) END
+@query(f"""WITH RECURSIVE {_DOCS}, cut AS (SELECT doc_id, 0 AS chunk, 0 AS start, CASE WHEN length(raw_text) <= 900 THEN length(raw_text) ELSE coalesce(nullif(nullif(900 - instr(reverse(substring(raw_text, 1, 900)), chr(10)) + 1, 901), 1), 900) END AS size FROM docs WHERE raw_text <> ''
+  UNION ALL SELECT c.doc_id, chunk + 1, c.start + c.size, CASE WHEN length(rest) <= 900 THEN length(rest) ELSE coalesce(nullif(nullif(900 - instr(reverse(substring(rest, 1, 900)), chr(10)) + 1, 901), 1), 900) END
   FROM (SELECT c.*, substring(raw_text, c.start + c.size + 1) AS rest FROM cut c JOIN docs USING (doc_id)) c WHERE rest <> '')
 SELECT doc_id, chunk::int AS chunk, start::bigint AS start, size::bigint AS n_chars FROM cut""")
 def recogniser_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,13 +85,81 @@ def reader_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.md5("text").alias("text_md5"), fits.alias("aligned"))
 
 
-@query("""WITH b AS (SELECT vec_id, list_transform(embedding[1:24], lambda x: floor(abs(x::double) * 100)::int) AS bands FROM embeddings),
-t AS (SELECT *, list_sort(list_filter(bands, lambda h: h >= 5)) AS tall, greatest(1, tall[len(tall) // 2 + 1]) AS typical FROM b)
+@query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x::double) * 100)::int) AS bands, 12 + (vec_id % 5) * 6 AS tallest FROM embeddings),
+t AS (SELECT *, list_sort(list_filter(bands, lambda h: h BETWEEN 5 AND tallest)) AS tall, greatest(1, tall[len(tall) // 2 + 1]) AS typical FROM b)
 SELECT vec_id, coalesce(list_sum(list_transform(bands, lambda h: CASE WHEN len(tall) = 0 OR h < 5 OR h > 6 * typical THEN 0 WHEN h >= 1.7 * typical THEN round_even(h / typical, 0)::int ELSE 1 END)), 0)::int AS n_lines FROM t""")
 def lines_in_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings stand for the heights of a page's ink bands."""
-    bands = F.transform(F.slice("embedding", 1, 24), lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("int"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", quality.lines_in_bands(bands).alias("n_lines"))
+    """Embeddings stand for the heights of a page's ink bands; what is too tall for a line differs by page."""
+    bands = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("int"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", quality.lines_in_bands(bands, 12 + (F.col("vec_id") % 5) * 6).alias("n_lines"))
+
+
+# ---- pages
+
+#: Documents as pages of eight lines, as a reader might give them: some from a text layer, blank, cut short or lost, with a number
+#: of visible lines. Tokens have one to four bytes, so that they part characters; one document in five was read with little
+#: certainty. Expressions of both engines; {div} is their whole division.
+PAGE_LINES = 8
+_PAGE = {
+    "source": "CASE WHEN (doc_id + page) % 3 = 0 THEN 'text_layer' ELSE 'ocr' END",
+    "visible": "CASE WHEN doc_id % 3 = 0 THEN n_read ELSE (doc_id * 7 + page * 3) % 12 END",
+    "truncated": "(doc_id + page) % 11 = 0", "blank": "(doc_id + 2 * page) % 13 = 5", "error": "CASE WHEN (doc_id + 3 * page) % 29 = 7 THEN 'lost' END", "n_bytes": "1 + (doc_id + page) % 4",
+}
+_CERTAIN = "1 - ((i * 37 + doc_id * 11) % 100) / 100.0 * CASE WHEN doc_id % 5 = 0 THEN 0.9 ELSE 0.1 END"
+_PAGES_SQL = f"""{_DOCS}, cut AS (SELECT doc_id, string_split(raw_text, chr(10)) AS a FROM docs),
+parts AS (SELECT doc_id, p::int AS page, array_to_string(a[p * {PAGE_LINES} + 1 : p * {PAGE_LINES} + {PAGE_LINES}], chr(10)) AS raw_text, len(list_filter(a[p * {PAGE_LINES} + 1 : p * {PAGE_LINES} + {PAGE_LINES}], lambda x: trim(x) <> '')) AS n_read FROM cut, unnest(range(0, (len(a) + {PAGE_LINES - 1}) // {PAGE_LINES})) AS r(p)),
+pages AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _PAGE.items())} FROM parts),
+tokens AS (SELECT doc_id, page, i, ({_CERTAIN})::double AS p, n_bytes FROM pages, unnest(range(0, (octet_length(encode(raw_text)) + n_bytes - 1) // n_bytes)) AS r(i)),
+chars AS MATERIALIZED (SELECT doc_id, page, j, c, n_bytes, sum(octet_length(encode(c))) OVER (PARTITION BY doc_id, page ORDER BY j) AS done FROM (SELECT doc_id, page, n_bytes, unnest(range(1, length(raw_text) + 1)) AS j, substring(raw_text, j, 1) AS c FROM pages)),
+begun AS (SELECT t.*, i = 0 OR done IS NOT NULL AS first FROM tokens t LEFT JOIN chars c ON c.doc_id = t.doc_id AND c.page = t.page AND c.done = t.i * t.n_bytes),
+runs AS (SELECT *, sum(first::int) OVER (PARTITION BY doc_id, page ORDER BY i) AS run FROM begun),
+least_ AS (SELECT doc_id, page, i, min(p) OVER (PARTITION BY doc_id, page, run ORDER BY i) AS p FROM runs),
+sure AS MATERIALIZED (SELECT c.doc_id, c.page, c.j, c.c, l.p FROM chars c JOIN least_ l ON l.doc_id = c.doc_id AND l.page = c.page AND l.i = (c.done - 1)::bigint // c.n_bytes)"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, source, text, visible, truncated, blank, error, tokens)."""
+    cut = F.split("raw_text", "\n")
+    part = lambda p: F.slice(cut, p * PAGE_LINES + 1, PAGE_LINES)
+    each = F.transform(F.sequence(F.lit(0), F.floor((F.size(cut) - 1) / PAGE_LINES).cast("int")), lambda p: F.struct(p.alias("page"), F.array_join(part(p), "\n").alias("text"), F.size(F.filter(part(p), lambda x: F.trim(x) != "")).alias("n_read")))
+    rows = texts(spark, sf_dir).select("doc_id", F.inline(each)).withColumns({n: F.expr(e) for n, e in _PAGE.items()})
+    return rows.withColumns({"visible": F.col("visible").cast("int"), "tokens": F.expr(f"""transform(filter(sequence(0, cast(floor((octet_length(text) + n_bytes - 1) / n_bytes) as int)), i -> i * n_bytes < octet_length(text)),
+      i -> named_struct('n_bytes', cast(n_bytes as int), 'p', cast({_CERTAIN} as double)))""")}).drop("n_read", "n_bytes")
+
+
+@query(f"WITH {_PAGES_SQL} SELECT doc_id, page, count(*) AS n_chars, sum(round(p * 1000000)::bigint)::bigint AS millionths, sum((j % 97) * round(p * 1000000)::bigint)::bigint AS placed FROM sure GROUP BY ALL")
+def character_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of a page's characters from those of a reader's tokens, which part characters of several bytes."""
+    rows = pages.character_confidence(_pages(spark, sf_dir)).where("text <> ''")
+    million = F.transform("confidence", lambda p: F.round(p * 1_000_000).cast("long"))
+    add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", "page", F.size("confidence").cast("long").alias("n_chars"), add(million).alias("millionths"), add(F.transform(million, lambda x, i: (i + 1) % 97 * x)).alias("placed"))
+
+
+@query(rf"""WITH {_PAGES_SQL}, lost AS (SELECT doc_id, min(page) AS at_page FROM pages WHERE error IS NOT NULL GROUP BY doc_id),
+kept AS (SELECT p.*, NOT blank AND coalesce(bool_or(raw_text <> '' AND NOT blank) OVER (PARTITION BY p.doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS broken FROM pages p LEFT JOIN lost l USING (doc_id) WHERE at_page IS NULL OR page < at_page),
+paged AS (SELECT doc_id * 100000 + page AS doc_id, raw_text FROM kept WHERE NOT blank), {sql.lines('paged')}, {sql.reasons()},
+read_ AS (SELECT doc_id, count(*) FILTER (trim({gone('line', chr(92) + 's+', "' '")}) <> '') AS n FROM lines GROUP BY doc_id),
+verdicts AS (SELECT k.*, n, CASE WHEN source <> 'ocr' OR n = 0 THEN 'ok' WHEN visible = 0 THEN 'withhold' WHEN n < 0.6 * visible - 1 THEN 'doubt' WHEN n <= visible THEN 'ok' WHEN n >= 2 * greatest(1, visible) + 6 THEN 'withhold' ELSE 'doubt' END AS verdict FROM kept k JOIN read_ r ON r.doc_id = k.doc_id * 100000 + page),
+line_p AS (SELECT l.doc_id, l.line_no, sum(round(p * 1000000)::bigint) AS total, count(*) AS n FROM lines l JOIN sure s ON s.doc_id * 100000 + s.page = l.doc_id AND s.j > l.start AND s.j <= l.start + length(l.line) WHERE NOT regexp_matches(c, '^\s$') GROUP BY ALL),
+judged AS (SELECT v.doc_id, v.page, r.line_no, r.line, CASE WHEN verdict = 'withhold' THEN 'page' WHEN source = 'ocr' AND trim({gone('line', chr(92) + 's+', "' '")}) <> '' THEN r.reason END AS reason, (verdict = 'doubt')::int + (source = 'ocr' AND truncated)::int AS doubts,
+  source = 'ocr' AND trim({gone('line', chr(92) + 's+', "' '")}) <> '' AND coalesce(round(total / p.n / 1000000, 3) < {checks.SURE_LINE}, false) AS low FROM verdicts v JOIN reasons r ON r.doc_id = v.doc_id * 100000 + v.page LEFT JOIN line_p p ON p.doc_id = r.doc_id AND p.line_no = r.line_no WHERE broken OR raw_text <> ''),
+of_doc AS (SELECT doc_id, count(reason) AS n_withheld, sum(low::int) AS n_low_lines, sum(doubts) AS n_doubts, sum(CASE WHEN reason IS NULL THEN {LEGIBLE('line')} ELSE 0 END) AS legible FROM judged GROUP BY doc_id),
+of_page AS (SELECT k.doc_id, k.page, k.source, CASE WHEN k.blank THEN 'blank' WHEN verdict = 'withhold' THEN 'suspect' WHEN {LEGIBLE('k.raw_text')} < {P.LEGIBLE_CHARS} THEN 'no_text' ELSE 'ok' END AS status, coalesce(q.n, 0) AS n_lines FROM kept k LEFT JOIN verdicts v ON v.doc_id = k.doc_id AND v.page = k.page
+  LEFT JOIN (SELECT doc_id, count(*) FILTER (trim(line) <> '') AS n FROM lines GROUP BY doc_id) q ON q.doc_id = k.doc_id * 100000 + k.page),
+listed AS (SELECT doc_id, string_agg(page || ':' || source || ':' || status || ':' || n_lines, '|' ORDER BY page) AS pages, count(*) FILTER (status IN ('suspect', 'no_text')) AS n_suspect FROM of_page GROUP BY doc_id),
+whole AS (SELECT doc_id, string_agg(CASE WHEN broken THEN chr(10) || chr(10) ELSE '' END || raw_text, '' ORDER BY page) AS raw_text FROM kept WHERE NOT blank GROUP BY doc_id),
+mean AS (SELECT s.doc_id, round(sum(round(p * 1000000)::bigint) / count(*) / 1000000, 3) AS m FROM sure s JOIN kept k USING (doc_id, page) WHERE k.source = 'ocr' AND NOT blank AND regexp_matches(c, '^[\p{{L}}\p{{N}}]$') GROUP BY s.doc_id),
+every AS (SELECT d.doc_id, l.doc_id IS NOT NULL AS lost, coalesce(w.raw_text, '') AS raw_text, coalesce(legible, 0) AS legible, coalesce(n_withheld, 0) AS n_withheld, coalesce(n_low_lines, 0) AS n_low, coalesce(n_doubts, 0) AS n_doubts, coalesce(n_suspect, 0) AS n_suspect, m, coalesce(p.pages, '') AS pages
+  FROM docs d LEFT JOIN lost l USING (doc_id) LEFT JOIN whole w USING (doc_id) LEFT JOIN of_doc o USING (doc_id) LEFT JOIN listed p USING (doc_id) LEFT JOIN mean USING (doc_id))
+SELECT doc_id, CASE WHEN lost THEN 'failed' WHEN legible < {P.LEGIBLE_CHARS} THEN 'unreadable' WHEN n_withheld > 0 OR n_low > 0 OR n_doubts > 0 OR n_suspect > 0 OR coalesce(m < {checks.SURE_DOCUMENT}, false) THEN 'low_confidence' ELSE 'ok' END AS status, CASE WHEN lost THEN 'reader_failed' END AS error,
+  n_withheld::bigint AS n_withheld, n_low::bigint AS n_low_lines, n_suspect::bigint AS n_suspect_pages, m AS ocr_confidence, pages, md5(raw_text) AS text_md5 FROM every""")
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents made of pages that a reader gave: what is kept of each, and the status that follows."""
+    given = pages.character_confidence(_pages(spark, sf_dir)).withColumn("confidence", F.when(F.col("source") == "ocr", F.col("confidence"))).drop("tokens")
+    rows = pages.records(given)
+    listed = F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p["page"].cast("string"), p["source"], p["status"], p["n_lines"].cast("string"))), "|")
+    return rows.select("doc_id", "status", "error", "n_withheld", "n_low_lines", "n_suspect_pages", "ocr_confidence", listed.alias("pages"), F.md5("raw_text").alias("text_md5"))
 
 
 # ---- kinds
@@ -674,6 +742,26 @@ def lexicon_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line_no", "start", "end", F.expr("substring(line, start - at + 1, end - start)").alias("text"))
 
 
+#: A prescription fits in one chunk.
+_CHUNKS = "cut AS (SELECT doc_id, 0 AS line_no, 0 AS start, raw_text AS line FROM prescriptions)"
+_SCORED = "((length(word) * 7) % 10) / 10.0"
+
+
+@query(ctes("prescriptions") + f""", {_CHUNKS}, {_SPAN_SQL('cut', _LEXICON.format('part'))},
+scored AS (SELECT DISTINCT doc_id, start, end_, ({_SCORED.replace('word', 'gram')})::double AS score FROM spans),
+sorted AS (SELECT doc_id, list([{{'start': start, 'end_': end_, 'score': score}}] ORDER BY score DESC, start - end_, start) AS ss FROM scored GROUP BY doc_id),
+kept AS (SELECT doc_id, unnest(list_reduce(ss, lambda a, x: CASE WHEN len(list_filter(a, lambda k: k.start < x[1].end_ AND x[1].start < k.end_)) > 0 THEN a ELSE list_concat(a, x) END)) AS s FROM sorted)
+SELECT k.doc_id, (s.start - length(replace(substring(raw_text, 1, s.start), chr(10), '')))::int AS line_no, s.start AS start, s.end_ AS "end", s.score AS score FROM kept k JOIN prescriptions p USING (doc_id)""")
+def flat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product names of one to three words, which overlap, with a score by their length: the best ones that don't."""
+    words = spark.sql(_LEXICON.format("{p}"), p=table(spark, sf_dir, "part"))
+
+    def find(parts: DataFrame) -> DataFrame:
+        return plugins.from_lexicon(parts, words, "drug").withColumn("score", F.expr(_SCORED.replace("length(word)", "(end - start)")).cast("double"))
+
+    return plugins.by_chunks(corpus.prescriptions(spark, sf_dir), find).select("doc_id", "line_no", "start", "end", "score")
+
+
 _TERMS = "SELECT 'penicillin' AS word UNION ALL SELECT 'lipid profile' UNION ALL SELECT 'omez' UNION ALL SELECT 'montek' UNION ALL SELECT 'asthma' UNION ALL SELECT 'complete blood count' UNION ALL SELECT 'chest pain'"
 
 
