@@ -33,7 +33,7 @@ ALPHA = 1.0
 OFFSET = 20.0
 SEED = 2024
 #: Bytes of text in a walk.
-WALK = 1 << 19
+WALK = 1 << 17
 SPACE = "▁"
 #: Edges from a node at most, as a piece has at most 16 characters.
 FAN = 32
