@@ -111,7 +111,8 @@ parts AS (SELECT doc_id, p::int AS page, array_to_string(a[p * {PAGE_LINES} + 1
 pages AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _PAGE.items())} FROM parts),
 tokens AS (SELECT doc_id, page, i, ({_CERTAIN})::double AS p, n_bytes FROM pages, unnest(range(0, (octet_length(encode(raw_text)) + n_bytes - 1) // n_bytes)) AS r(i)),
 chars AS MATERIALIZED (SELECT doc_id, page, j, c, n_bytes, sum(octet_length(encode(c))) OVER (PARTITION BY doc_id, page ORDER BY j) AS done FROM (SELECT doc_id, page, n_bytes, unnest(range(1, length(raw_text) + 1)) AS j, substring(raw_text, j, 1) AS c FROM pages)),
-begun AS (SELECT t.*, i = 0 OR done IS NOT NULL AS first FROM tokens t LEFT JOIN chars c ON c.doc_id = t.doc_id AND c.page = t.page AND c.done = t.i * t.n_bytes),
+ended AS (SELECT DISTINCT doc_id, page, (done - 1)::bigint // n_bytes AS i FROM chars),
+begun AS (SELECT t.doc_id, t.page, t.i, i = 0 OR done IS NOT NULL AS first, CASE WHEN i = 0 OR done IS NOT NULL OR (t.doc_id, t.page, t.i) IN (SELECT (doc_id, page, i) FROM ended) THEN p END AS p FROM tokens t LEFT JOIN chars c ON c.doc_id = t.doc_id AND c.page = t.page AND c.done = t.i * t.n_bytes),
 runs AS (SELECT *, sum(first::int) OVER (PARTITION BY doc_id, page ORDER BY i) AS run FROM begun),
 least_ AS (SELECT doc_id, page, i, min(p) OVER (PARTITION BY doc_id, page, run ORDER BY i) AS p FROM runs),
 sure AS MATERIALIZED (SELECT c.doc_id, c.page, c.j, c.c, l.p FROM chars c JOIN least_ l ON l.doc_id = c.doc_id AND l.page = c.page AND l.i = (c.done - 1)::bigint // c.n_bytes)"""

@@ -56,6 +56,10 @@ def test_line_counts(spark, read, visible, want):
 
 def test_bands_that_hold_several_lines(spark):
     assert one(spark, quality.lines_in_bands(F.array(*map(F.lit, (2, 10, 10, 10, 21, 100))))) == 5
+    # shadows taller than any line don't shift the typical height
+    bands = F.array(*map(F.lit, (11, 200, 200, 200, 12, 11)))
+    assert one(spark, quality.lines_in_bands(bands)) == 3 and one(spark, quality.lines_in_bands(bands, 300)) == 6
+    assert one(spark, quality.lines_in_bands(F.array(*map(F.lit, (200, 300))))) == 0
 
 
 @pytest.mark.parametrize("text, kind", [
@@ -222,6 +226,24 @@ def test_nearest_source_against_all_pairs(spark):
     assert got == {own: min((distance(o, n) / len(n), n) for n in names)[1] for own, o in outs}
 
 
+def test_nearest_source_with_empty_and_missing_names(spark):
+    outs = [("", ""), ("abc", ""), ("xy", "xyz"), (None, "q"), ("gone", None)]
+    sources = spark.createDataFrame([("",), ("abc",), ("xy",), (None,), ("abc",)], "source string")
+    got = {r.own: (r.nearest, r.distance) for r in score.nearest_sources(spark.createDataFrame(outs, "own string, output string"), sources).collect()}
+    assert got == {"": ("", 0.0), "abc": ("", 0.0), "xy": ("xy", 0.5), "gone": ("", 0.0)}
+    named = spark.createDataFrame([("abc",)], "source string")
+    assert score.nearest_sources(spark.createDataFrame([("abc", "abd")], "own string, output string"), named).first()["nearest"] == "abc"
+
+
+def test_critical_tokens_named_twice_count_once(spark):
+    want = spark.createDataFrame([(1, "dosage", ["5 mg"]), (1, "dosage", ["5mg", "5 mg"]), (1, "name", ["dolo", "dolo forte"]), (1, "name", []), (2, "name", ["x"])], "doc_id long, category string, alternatives array<string>")
+    texts = spark.createDataFrame([(1, "Dolo forte 5 mg, 5mg", "dolo fort 5 mg"), (2, None, None)], "doc_id long, true_text string, read_text string")
+    got = {r.category: (r.expected, r.found) for r in score.critical_tokens(want, texts).collect()}
+    assert got == {"dosage": (2, 1), "name": (2, 0)}
+    plan = score.critical_tokens(want, texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 0 and plan.count("Join") == 1
+
+
 def test_spans_and_grounding(spark):
     rows = on_lines(spark, "Tab aspirin 5mg\nibuprofen gel")
     words = spark.createDataFrame([("aspirin",), ("ibuprofen gel",), ("gold",)], "word string")

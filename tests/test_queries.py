@@ -20,3 +20,9 @@ def test_query_without_sql_has_rows(spark, name):
 
 def test_entry(spark):
     assert registry.entry(spark, SF).columns == ["doc_id", "line_no", "name", "dosage"]
+
+
+@pytest.mark.parametrize("name, most", [("entities_long", 80), ("field_scores", 80), ("documents_record", 180)])
+def test_lines_are_gone_through_once(spark, name, most):
+    """A record's items come from one pass over the lines of a corpus, so that few patterns stand in its plan."""
+    assert registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") < most
