@@ -124,9 +124,3 @@ def gram_hashes(values: np.ndarray, n: int) -> np.ndarray:
         out *= np.uint64(_P)
         out += values[k : k + m]
     return mix(out + np.uint64(n))
-
-
-def row_counts(rows: np.ndarray, ids: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, id) with counts, as (first of each row, ids, counts)."""
-    key, count = np.unique(rows.astype(np.int64) * width + ids, return_counts=True)
-    return np.searchsorted(key, np.arange(n_rows + 1) * width), (key % width).astype(np.int32), count

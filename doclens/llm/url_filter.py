@@ -24,7 +24,8 @@ def plain_host(host: Column) -> Column:
 
 
 def plain_entry(entry: Column) -> Column:
-    """A list entry as captures are looked up: its host as plain_host has it, its path in lower case without empty steps."""
+    """A list entry as captures are looked up: its host as plain_host has it, its path in lower case without empty steps. An entry is
+    a domain, or a domain and a path; one that is written with a scheme, a port or a leading "*." matches nothing."""
     steps = F.filter(F.split(F.lower(F.trim(entry)), "/"), lambda s: s != "")
     path = F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0)))
     return F.nullif(F.when(F.size(steps) > 0, F.array_join(F.concat(F.array(plain_host(F.get(steps, F.lit(0)))), path), "/")), F.lit(""))
