@@ -26,8 +26,8 @@ SAMPLE = 2000
 BITS = 12
 RANK = 64
 NEIGHBOURS = 25
-#: Rows whose term counts stand in memory at a time.
-ROWS = 256
+#: Rows whose term counts stand in memory at a time, and rows whose cosines do.
+ROWS, BLOCK = 128, 64
 #: Tasks that hold the sample.
 FITTERS = 8
 #: Neighbours weigh by this power of their cosine's share of the nearest one's.
@@ -204,17 +204,17 @@ def votes(space: Space, data: np.ndarray, offsets: np.ndarray, ids: pa.Array) ->
     place[place == len(space.ids)] = 0
     own = (space.ids[place] == mine) & ~np.asarray(pc.is_null(ids))
     out, k = np.empty(len(v)), min(NEIGHBOURS, len(space.labels))
-    for at in range(0, len(v), 256):
-        cos = np.round(v[at : at + 256] @ space.vectors.T, DIGITS)
-        known = np.flatnonzero(own[at : at + 256])
-        cos[known, place[at : at + 256][known]] = -2
+    for at in range(0, len(v), BLOCK):
+        cos = np.round(v[at : at + BLOCK] @ space.vectors.T, DIGITS)
+        known = np.flatnonzero(own[at : at + BLOCK])
+        cos[known, place[at : at + BLOCK][known]] = -2
         near = nearest(cos, k)
         found = np.take_along_axis(cos, near, axis=1)
         near_by = np.clip(found, 1e-3, 1)
         w = np.where(found == -2, 0, (near_by / near_by.max(axis=1, keepdims=True)) ** POWER)
         label = space.labels[near]
         w = w * space.weigh[label.astype(np.int64)]
-        out[at : at + 256] = ((w * label).sum(axis=1) + 1e-12 * space.prior) / (w.sum(axis=1) + 1e-12)
+        out[at : at + BLOCK] = ((w * label).sum(axis=1) + 1e-12 * space.prior) / (w.sum(axis=1) + 1e-12)
     return out
 
 
