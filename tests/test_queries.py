@@ -26,3 +26,8 @@ def test_entry(spark):
 def test_lines_are_gone_through_once(spark, name, most):
     """A record's items come from one pass over the lines of a corpus, so that few patterns stand in its plan."""
     assert registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") < most
+
+
+def test_values_of_records_are_found_once(spark):
+    """What checks and records start from is kept, so that the last plan holds no extraction."""
+    assert registry.queries()["documents_record"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") < 60
