@@ -1,5 +1,8 @@
+import difflib
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -428,3 +431,22 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("Dr A Rao\nRx\nTab A 5mg\nReg No 1")
     ingest.write(ingest.read_folder(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
     assert [(r.kind, r.doctor_name) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("prescription", "Dr A Rao")]
+
+
+def test_runs_of_many_pairs_are_those_of_difflib():
+    """Pairs with repeated words, empty ones and ones too large to be compared together, all in one batch."""
+    g = random.Random(3)
+    word = lambda n: [g.randrange(n) for _ in range(g.randrange(40))]
+    pairs = [(word(n), word(n)) for n in (2, 3, 6, 30) for _ in range(150)] + [([], []), ([1], []), ([], [1, 2])]
+    for n in (4, 500):
+        long = [g.randrange(n) for _ in range(300)]
+        pairs.append((long, [v if g.random() < 0.9 else -9 for v in long]))
+    x, y = ([p[k] for p in pairs] for k in (0, 1))
+    edges = lambda s: np.cumsum([0, *map(len, s)])
+    flat = lambda s: np.array([v for p in s for v in p])
+    got = [tuple(map(int, r)) for r in zip(*score.differing_runs(flat(x), edges(x), flat(y), edges(y)))]
+    want, a, b = [], edges(x), edges(y)
+    for k, (p, q) in enumerate(pairs):
+        runs = [c for c in difflib.SequenceMatcher(a=p, b=q, autojunk=False).get_opcodes() if c[0] != "equal"]
+        want += [(k, n, a[k] + r[1], a[k] + r[2], b[k] + r[3], b[k] + r[4]) for n, r in enumerate(runs)]
+    assert got == want
