@@ -450,3 +450,18 @@ def test_runs_of_many_pairs_are_those_of_difflib():
         runs = [c for c in difflib.SequenceMatcher(a=p, b=q, autojunk=False).get_opcodes() if c[0] != "equal"]
         want += [(k, n, a[k] + r[1], a[k] + r[2], b[k] + r[3], b[k] + r[4]) for n, r in enumerate(runs)]
     assert got == want
+
+
+def test_token_places_are_those_of_the_marks(spark):
+    """Texts with any of the marks themselves, white space of all kinds and points, against one pattern after another; both marks of
+    a character are set in one pass."""
+    g = random.Random(4)
+    texts = ["", "\x01 ", *("".join(g.choice("aZ5..,- \n\t\x01\x02\x03\x04\x05\x06é漢") for _ in range(g.randrange(25))) for _ in range(400))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    one = F.lower("t")
+    for p, by in score.TOKEN_MARKS:
+        one = F.regexp_replace(one, p, by.replace("\\1", "$1").replace("\\2", "$2"))
+    one = F.replace(F.concat(F.lit("\x05"), one, F.lit("\x06")), F.lit("\x05\x06"), F.lit("\x06\x05"))
+    assert [r for r in df.select("t", score.token_places(F.col("t")).alias("a"), one.alias("b")).collect() if r.a != r.b] == []
+    plan = df.select(score.token_places(F.col("t")).alias("p"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_replace") < len(score.TOKEN_MARKS)
