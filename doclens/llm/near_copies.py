@@ -5,9 +5,14 @@ prefixes finds every pair; lengths, places in the order and the number of shared
 rest are compared whole. The order puts shingles that are frequent in a sample last. Which shingles the sample names
 changes the work, never the result. Texts with equal sets are one node before the join, so exact copies cost nothing.
 
+A sample can't tell what few sets hold in a large corpus, and long texts that share a passage would meet in pairs without
+end. So the order starts with elements that one set alone holds: those among a quarter of all hashes are counted exactly. As
+many of them as a set has, so many fewer of its prefix are left for the join; most sets without a near copy have none left.
+
 Only prefix elements that several sets hold go on. A large group of near copies must not become all its pairs: first every
-set is compared with one pivot (the least set) of each of its prefix elements, which joins most of such a group; then only
-pairs from different groups meet, at elements that sets of several groups hold.
+set is compared with one pivot of each of its prefix elements, the least set and then, where several groups are left, sets
+that come first in other orders, which joins nearly all of such a group; then only pairs from different groups meet, at
+elements that sets of several groups hold.
 
 Each set has a parity map: a bit for each bucket of hashes that holds an odd number of its elements. Two maps differ in at
 most as many bits as the sets have elements that aren't shared, so pairs whose maps differ in more go without a look at the
@@ -35,8 +40,14 @@ SHINGLE = 5
 TENTHS = 8
 #: Documents sampled for the order, times that a shingle is seen in them before it counts as frequent, and most such shingles.
 SAMPLE, FREQUENT, FREQUENT_MOST = 10_000, 3, 200_000
-#: Longs of the parity map that stands in the join.
-WORDS = 4
+#: Longs of the parity map that stands in the join: 1,024 bits still part sets of some 2,000 elements.
+WORDS = 16
+#: Sets of at least LONG elements have a second map there, of MORE longs, which their full maps fill.
+LONG, MORE = 2048, 64
+#: Hashes below this, a quarter of all, are counted to find elements that one set alone holds.
+COUNTED = np.uint64(1 << 62)
+#: Orders in which pivots are chosen, one after another.
+ROUNDS = 3
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -155,46 +166,70 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, tenths: int = TENTHS,
     common = common[by_hash]
 
     def first(found: np.ndarray) -> np.ndarray:
+        """The prefix as far as the sample tells: of what it doesn't name, counted elements stand last, since those that are
+        not alone, which go to the front, are known to be shared."""
         at = np.searchsorted(common, found)
         at[at == len(common)] = 0
-        rank = np.where(common[at] == found, by_hash[at] + 1, 0) if len(common) else np.zeros(len(found), np.int64)
+        counted = (found < COUNTED).astype(np.int64)
+        rank = np.where(common[at] == found, by_hash[at] + 2, counted) if len(common) else counted
         return found[np.lexsort((found, rank))][: prefix_length(len(found), tenths)]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _sets(batches, shingle):
-            columns = [b.column("doc_id"), b.column("row"), pa.array([_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), _longs([first(x) for x in sets]), _longs([parity(x) for x in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "s", "n", "prefix", "bits"])
-
-    rows = written(_texts(docs).mapInArrow(prefixes, "doc_id long, row long, s long, n int, prefix array<long>, bits array<long>").where("n > 0"), "prefixes")
+            heads = [first(x) for x in sets]
+            few = [x[: np.searchsorted(x, COUNTED)] for x in sets]
+            inside = [np.isin(x, h, assume_unique=True) for x, h in zip(few, heads)]
+            columns = [b.column("doc_id"), b.column("row"), pa.array([_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), _longs(heads)]
+            columns += [_longs([x[~i] for x, i in zip(few, inside)]), _longs([x[i] for x, i in zip(few, inside)]), _longs([parity(x) for x in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "s", "n", "prefix", "outside", "inside", "bits"])
+
+    schema = "doc_id long, row long, s long, n int, prefix array<long>, outside array<long>, inside array<long>, bits array<long>"
+    rows = written(_texts(docs).mapInArrow(prefixes, schema).where("n > 0"), "prefixes")
     least = written(rows.groupBy("s").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.count("*").alias("m")).select("s", "r.doc_id", "r.row", "m"), "sets")
     # rows that aren't their set's least are left out where any are; a repeated row stands twice and does no harm
     twins = least.where("m > 1")
     one = rows.join(twins, "s", "left_anti").unionByName(rows.join(twins.select("s", "doc_id", "row"), ["s", "doc_id", "row"], "left_semi"))
-    shared = written(one.select("s", F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
-    places = written(one.select("s", "n", F.posexplode("prefix").alias("at", "h")).join(shared, "h").distinct(), "places")
+    counted = one.select("s", F.size("outside").alias("k"), F.posexplode(F.concat("outside", "inside")).alias("at", "h")).select("s", "h", (F.col("at") >= F.col("k")).alias("i"))
+    alone = counted.groupBy("h").agg(F.count("*").alias("m"), F.min("s").alias("s"), F.min("i").alias("i")).where("m = 1")
+    alone = alone.groupBy("s").agg(F.count("*").cast("int").alias("alone"), F.collect_list(F.when(F.col("i"), F.col("h"))).alias("gone"))
+    # a set's elements that it alone holds are the first of its prefix; none of them can have a partner
+    heads = one.select("s", "n", "prefix").join(alone, "s", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).where(F.col("alone") < F.size("prefix"))
+    heads = heads.withColumn("prefix", F.slice(F.when(F.size("gone") > 0, F.array_except("prefix", "gone")).otherwise(F.col("prefix")), F.lit(1), F.size("prefix") - F.col("alone")))
+    heads = written(heads.drop("gone"), "heads")
+    shared = heads.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    places = heads.select("s", "n", "alone", F.posexplode("prefix").alias("at", "h")).withColumn("at", F.col("at") + F.col("alone")).drop("alone")
+    places = written(places.join(shared, "h").distinct(), "places")
     maps = written(one.select("s", "n", "bits").join(places.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"]), "maps")
 
-    pivots = places.groupBy("h").agg(F.min(F.struct("s", "n")).alias("p")).select("h", F.col("p.s").alias("t"), F.col("p.n").alias("m"))
+    grouped, links = places.withColumn("g", F.col("s")), None
     sized = 10 * F.least("n", "m") >= tenths * F.greatest("n", "m")
-    starred = places.join(pivots, "h").where(sized & (F.col("s") != F.col("t"))).select("s", "t").distinct()
-    stars = _verified(_likely(starred, maps, tenths), docs, least, shingle, tenths)
-
-    groups = components(stars).withColumnsRenamed({"id": "s", "root": "g"})
-    grouped = places.join(groups, "s", "left").withColumn("g", F.coalesce("g", "s"))
-    mixed = grouped.groupBy("h").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("h")
-    word = lambda k: F.aggregate(F.sequence(F.lit(k), F.size("bits") - 1, F.lit(WORDS)), F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(F.get("bits", i)))
-    small = maps.select("s", *(word(k).alias(f"b{k}") for k in range(WORDS)))
-    grouped = written(grouped.join(mixed, "h", "left_semi").join(small, "s"), "mixed")
+    for k in range(ROUNDS):
+        order = F.xxhash64("s", F.lit(k)) if k else F.col("s")
+        pivots = grouped.groupBy("h").agg(F.min(F.struct(order.alias("o"), "s", "n", "g")).alias("p")).select("h", F.col("p.s").alias("t"), F.col("p.n").alias("m"), F.col("p.g").alias("q"))
+        starred = grouped.join(pivots, "h").where(sized & (F.col("g") != F.col("q"))).select("s", "t").distinct()
+        stars = _verified(_likely(starred, maps, tenths), docs, least, shingle, tenths)
+        links = stars if links is None else links.unionByName(stars)
+        groups = components(links).withColumnsRenamed({"id": "s", "root": "g"})
+        grouped = grouped.drop("g").join(groups, "s", "left").withColumn("g", F.coalesce("g", "s"))
+        mixed = grouped.groupBy("h").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("h")
+        grouped = written(grouped.join(mixed, "h", "left_semi"), "grouped")
+
+    word = lambda k, words: F.aggregate(F.sequence(k, F.size("bits") - 1, F.lit(words)), F.lit(0).cast("long"), lambda a, i: a.bitwiseXOR(F.get("bits", i)))
+    more = F.when(F.col("n") >= LONG, F.transform(F.sequence(F.lit(0), F.lit(MORE - 1)), lambda k: word(k, MORE)))
+    small = maps.select("s", more.alias("more"), *(word(F.lit(k), WORDS).alias(f"b{k}") for k in range(WORDS)))
+    grouped = written(grouped.join(small, "s"), "mixed")
     l, r = grouped.alias("l"), grouped.alias("r")
     differ = sum((F.bit_count(F.col(f"l.b{k}").bitwiseXOR(F.col(f"r.b{k}"))) for k in range(WORDS)), F.lit(0))
     most = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) + F.least("l.at", "r.at")
     may = (F.col("l.g") != F.col("r.g")) & (F.col("l.s") < F.col("r.s")) & (10 * F.least("l.n", "r.n") >= tenths * F.greatest("l.n", "r.n")) & ((10 + tenths) * most >= tenths * (F.col("l.n") + F.col("r.n")))
-    may = may & ((10 + tenths) * differ <= (10 - tenths) * (F.col("l.n") + F.col("r.n")))
+    far = F.aggregate(F.zip_with("l.more", "r.more", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    for bits in (differ, F.coalesce(far, F.lit(0))):
+        may = may & ((10 + tenths) * bits <= (10 - tenths) * (F.col("l.n") + F.col("r.n")))
     hits = l.join(r, (F.col("l.h") == F.col("r.h")) & may).groupBy(F.col("l.s").alias("s"), F.col("r.s").alias("t"), F.col("l.n").alias("n"), F.col("r.n").alias("m")).agg(F.count("*").alias("hits"))
     # what two sets share is in both prefixes or among what the prefix of one of them leaves
     rest = F.ceil(F.greatest("n", "m") * tenths / F.lit(10)) - 1
     pairs = hits.where((10 + tenths) * (F.col("hits") + rest) >= tenths * (F.col("n") + F.col("m"))).select("s", "t")
-    return Similar(rows.drop("prefix", "bits"), least, stars.unionByName(_verified(_likely(pairs, maps, tenths), docs, least, shingle, tenths)))
+    return Similar(rows.drop("prefix", "outside", "inside", "bits"), least, links.unionByName(_verified(_likely(pairs, maps, tenths), docs, least, shingle, tenths)))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

@@ -72,6 +72,29 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark, docs_of, monkeypatc
     assert sum(sizes) < 30 * len(rows)
 
 
+def test_long_texts_with_a_shared_passage_make_no_pairs(spark, docs_of, monkeypatch):
+    """150 texts that share a passage which no sample names, and two near copies: only those meet, though all hold its shingles."""
+    shared = " ".join(f"p{i}" for i in range(60))
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(400)) + " " + shared) for k in range(150)]
+    rows.append((150, rows[7][1].replace("w7x200", "changed")))
+    made, written = {}, N.written
+
+    def keep(name, df):
+        return made.setdefault(name, df) if name == "places" else df
+
+    monkeypatch.setattr(N, "written", lambda df, name: keep(name, written(df, name)))
+    assert {k: g for k, g in groups(docs_of(*rows), sample=1).items() if k != g} == {150: 7}
+    assert made["places"].select("s").distinct().count() <= 12
+
+
+def test_long_sets_are_told_apart_in_the_join(spark, docs_of):
+    """Sets of 2,500 that share half, and a near copy: both maps of long sets let the right pair through."""
+    half = [f"h{i}" for i in range(1250)]
+    rows = [(k, " ".join([*half, *(f"w{k}x{i}" for i in range(1250))])) for k in range(4)]
+    rows.append((9, rows[2][1].replace("w2x600", "changed")))
+    assert groups(docs_of(*rows)) == {0: 0, 1: 1, 2: 2, 3: 3, 9: 2}
+
+
 def test_parity_maps_never_hide_a_similar_pair():
     r = np.random.default_rng(8)
     for _ in range(400):
