@@ -465,3 +465,18 @@ def test_token_places_are_those_of_the_marks(spark):
     assert [r for r in df.select("t", score.token_places(F.col("t")).alias("a"), one.alias("b")).collect() if r.a != r.b] == []
     plan = df.select(score.token_places(F.col("t")).alias("p"))._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("regexp_replace") < len(score.TOKEN_MARKS)
+
+
+def test_lines_are_alike_by_difflibs_ratio_and_most_pairs_are_not_aligned(monkeypatch):
+    r = np.random.default_rng(3)
+    line = lambda n, letters: "".join(r.choice(list(letters), n))
+    known = [[line(int(r.integers(1, 40)), "abcdef ") for _ in range(int(r.integers(0, 5)))] + [line(230, "abcé漢")] for _ in range(150)]
+    keys = [line(int(r.integers(1, 40)), "abcdefgh ") if k % 3 else known[k][0][1:] + "x" for k in range(149)] + [line(240, "abcé漢")]
+    known = known[:150]
+    want = [any(difflib.SequenceMatcher(None, k, t).ratio() >= 0.5 for t in ts) for k, ts in zip(keys, known)]
+    assert score.alike(keys, known, 0.5).tolist() == want and 20 < sum(want) < 140
+    assert score.alike(["a"], [[]], 0.5).tolist() == [False] and score.alike([], [], 0.5).tolist() == []
+    pairs, aligned = [], score.matching_blocks
+    monkeypatch.setattr(score, "matching_blocks", lambda x, xe, y, ye: pairs.append(len(xe) - 1) or aligned(x, xe, y, ye))
+    many = [f"tab. name{k} 10mg od" for k in range(20)]
+    assert score.alike(["tab. name7 1omg od"] * 500, [many] * 500, 0.5).all() and sum(pairs) == 1
